@@ -6,17 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, secret_scan
+from . import line_dedup, mixing, packing, secret_scan, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    """The vocabulary that the packing query uses; only the driver needs the file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": lambda spark, d: mixing.mixed_documents(table(spark, d, "documents")),
+    "op3_pack_best_fit": lambda spark, d: packing.packed_documents(table(spark, d, "documents"), tokenizer()),
+    "op5_warc_bundles": lambda spark, d: warc.archived_pages(table(spark, d, "pages")),
     "op8_line_dedup": lambda spark, d: line_dedup.deduplicated_lines(table(spark, d, "documents")),
     "op9_secret_scan": lambda spark, d: secret_scan.found_secrets(table(spark, d, "documents")),
+    "op10_vp_neighbours": lambda spark, d: vptree.neighbours(table(spark, d, "embeddings")),
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.LINES_SQL}
