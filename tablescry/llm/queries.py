@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, near_dedup, packing, secret_scan, vptree, warc
+from . import line_dedup, mixing, near_dedup, packing, secret_scan, syncmers, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,7 @@ def tokenizer() -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": lambda spark, d: mixing.mixed_documents(table(spark, d, "documents")),
+    "op2_syncmer_prints": lambda spark, d: syncmers.edited_fingerprints(table(spark, d, "documents")),
     "op3_pack_best_fit": lambda spark, d: packing.packed_documents(table(spark, d, "documents"), tokenizer()),
     "op5_warc_bundles": lambda spark, d: warc.archived_pages(table(spark, d, "pages")),
     "op7_near_dedup": lambda spark, d: near_dedup.near_duplicates(table(spark, d, "documents")),
