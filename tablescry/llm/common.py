@@ -44,6 +44,13 @@ def delete(spark: SparkSession, *tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Let Arrow batches hold no more bytes than this: a worker's memory follows the batch, and texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > size:
+        spark.conf.set(name, f"{size}b")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

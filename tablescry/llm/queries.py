@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, near_dedup, packing, secret_scan, syncmers, vptree, warc
+from . import line_dedup, mixing, near_dedup, packing, secret_scan, suffix_dedup, syncmers, vptree, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_syncmer_prints": lambda spark, d: syncmers.edited_fingerprints(table(spark, d, "documents")),
     "op3_pack_best_fit": lambda spark, d: packing.packed_documents(table(spark, d, "documents"), tokenizer()),
     "op5_warc_bundles": lambda spark, d: warc.archived_pages(table(spark, d, "pages")),
+    "op6_suffix_dedup": lambda spark, d: suffix_dedup.without_repeats(table(spark, d, "documents")),
     "op7_near_dedup": lambda spark, d: near_dedup.near_duplicates(table(spark, d, "documents")),
     "op8_line_dedup": lambda spark, d: line_dedup.deduplicated_lines(table(spark, d, "documents")),
     "op9_secret_scan": lambda spark, d: secret_scan.found_secrets(table(spark, d, "documents")),
