@@ -1,10 +1,63 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all
+but the last return the columns of documents. Stages match rows to verdicts by doc_id, so rows
+that share one share the verdict; a null doc_id is a value like others, and rows
+that have it are never near duplicates. Empty tables pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tablescry.llm import line_dedup, mixing, near_dedup, packing, quality, queries
+from tablescry.llm.common import few_files
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ids."""
+    wanted = ids.select(F.col("doc_id").alias("_wanted")).distinct()
+    return few_files(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi"))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model accepts."""
+    verdicts = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _only(docs, verdicts.where("kept"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that other documents repeat; n_chars follows. A null text stays null."""
+    kept = line_dedup.keep_lines(docs)
+    text = F.when(F.col("text").isNotNull(), F.col("_kept_text"))
+    return few_files(kept.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return _only(docs, near_dedup.near_duplicates(docs).where("kept"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The curriculum's documents, once for each use, in training order."""
+    return few_files(mixing.mixed_texts(docs, mixing.curriculum))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 4096 tokens."""
+    return few_files(packing.packed_documents(docs, queries.tokenizer()))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_lines),
+    ("near dedup", drop_near_duplicates),
+    ("mixing", mix),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: Hashes order the mix, and the language model, components and packing aren't for SQL.
 ORACLE_SQL = None
 
 
