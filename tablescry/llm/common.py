@@ -29,13 +29,25 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tablescry/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """No more output files than keep all cores busy a few times over; partitions beyond that are worked off one after another."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def save(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write a table in the shared folder and read it again."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
+    few_files(df).write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def save_by(df: DataFrame, label: str, key: str, parts: int) -> DataFrame:
+    """Like save(), bucketed by a key: later joins on the key leave these rows where they are."""
+    name = f"tablescry_{uuid.uuid4().hex[:12]}"
+    few_files(df).write.bucketBy(parts, key).option("path", new_path(df.sparkSession, label)).option("compression", "lz4").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def delete(spark: SparkSession, *tables: DataFrame) -> None:
     """Remove tables made by save() that nothing reads any more."""
     for table in tables:

@@ -12,8 +12,9 @@ anchor form a piece. Documents are packed in shards, and anchors are dealt over
    refinement, and groups of equal windows come out as intervals of the merged order;
 4. each shard gets the smallest id of each window back and cuts its documents.
 
-What moves is a bit or four bytes an anchor, repeated pieces once a shard, and the
-compressed shards themselves twice; nothing is gathered on the driver.
+What moves is a bit or four bytes an anchor and repeated pieces once a shard; the
+shards are a table bucketed by their number and stay in place, and nothing is gathered
+on the driver.
 
 Defined results: a null text is empty; a null id ranks last; rows that share an id
 don't remove from each other; texts shorter than the window stay; an empty table gives
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated_windows
-from .common import bound_batches, partitions, save, text_of
+from .common import bound_batches, partitions, save, save_by, text_of
 
 GRAM = 20
 #: Windows of one piece at most; text that repeats itself would make endless ones.
@@ -42,12 +43,12 @@ LAST = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def pack(*arrays) -> bytes:
+def pack(*arrays, level: int = 1) -> bytes:
     import pickle
 
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(arrays, protocol=5))
 
 
 def unpack(data: bytes):
@@ -311,11 +312,11 @@ def without_repeats(docs: DataFrame, *, width: int = 50, shard_bytes: int = 2 <<
     bound_batches(spark)
     buckets = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    sent = save(shards(rows, buckets, width, shard_bytes), "bwt-shards", "lz4")
+    sent = save_by(shards(rows, buckets, width, shard_bytes), "bwt-shards", "shard", buckets)
     packed = sent.where("bucket is null").select("shard", "data")
     masks = sent.where("bucket is not null").groupBy("bucket").applyInArrow(shared_anchors, "shard long, bucket int, bits binary")
     masks = masks.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias("masks"))
-    held = save(pieces(packed.join(masks, "shard", "left"), buckets, width), "bwt-pieces", "lz4")
+    held = save_by(pieces(packed.join(masks, "shard", "left"), buckets, width), "bwt-pieces", "shard", buckets)
     found = held.where("bucket is not null").groupBy("bucket").applyInArrow(merged(width), "shard long, bucket int, runs binary")
     found = save(found, "bwt-runs", "lz4").groupBy("shard").agg(F.collect_list(F.struct("bucket", "runs")).alias("found"))
     places = held.where("bucket is null").select("shard", F.col("data").alias("places"))
