@@ -22,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, text_of
+from .common import bound_batches, save, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, room long"
 SEARCH_STEPS = 20_000
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, remembered: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32. The tokenizer file is read here and sent along."""
+def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, remembered: int = 400_000, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32 and, if wanted, ids. The tokenizer file is read here and sent along."""
+    bound_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -48,31 +49,45 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id
         state = sys.modules.setdefault("_tablescry_tokens", types.ModuleType("_tablescry_tokens")).__dict__
         key = hash(model.value)
         if state.get("key") != key:
-            state |= {"key": key, "tokenizer": Tokenizer.from_str(model.value), "ids": {}}
-        encode, known = state["tokenizer"].encode_batch, state["ids"]
+            state |= {"key": key, "tokenizer": Tokenizer.from_str(model.value), "new": {}, "old": {}}
+        encode, known, old = state["tokenizer"].encode_batch_fast, state["new"], state["old"]
         end, wide = end_id.to_bytes(4, "little"), 4 * capacity
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                chunks = text.as_buffer().to_pybytes().split()
-                new = list({c for c in chunks if c not in known})
+                data = text.as_buffer().to_pybytes()
+                # The tokenizer lower-cases all but its special tokens, which begin with <|.
+                chunks = (data if b"<|" in data else data.lower()).split()
+                new = set(chunks).difference(known)
                 if new:
-                    if len(known) + len(new) > remembered:
-                        known.clear()
-                        new = list(set(chunks))
-                    for lo in range(0, len(new), 10_000):
-                        part = new[lo : lo + 10_000]
+                    if len(known) + len(new) > remembered:  # two generations: what is still in use moves on
+                        old, known = known, {}
+                        state |= {"new": known, "old": old}
+                        new = set(chunks)
+                    again = [c for c in new if c in old]
+                    known.update((c, old[c]) for c in again)
+                    new.difference_update(again)
+                    # A word and the mark after it are tokens apart, by the tokenizer's pattern.
+                    marked = [c for c in new if c[-1:] in (b".", b",") and c[:-1].isalpha()]
+                    new.difference_update(marked)
+                    new.update(w for c in marked for w in (c[:-1], c[-1:]) if w not in known)
+                    todo = list(new)
+                    for lo in range(0, len(todo), 10_000):
+                        part = todo[lo : lo + 10_000]
                         for c, e in zip(part, encode([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
                             known[c] = np.array(e.ids, "<u4").tobytes()
+                    for c in marked:
+                        known[c] = known[c[:-1]] + known[c[-1:]]
                 ids = b"".join([known[c] for c in chunks]) + end
                 for n, at in enumerate(range(0, len(ids), wide)):
                     cut = ids[at : at + wide]
-                    for column, v in zip(out, (doc_id, n, at // 4, len(cut) // 4, zlib.crc32(cut))):
+                    for column, v in zip(out, (doc_id, n, at // 4, len(cut) // 4, zlib.crc32(cut), np.frombuffer(cut, "<i4"))):
                         column.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+            width = 5 + with_ids
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in list(zip(out, kinds))[:width]], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:width])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(tokenise, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(tokenise, PIECES + ", ids array<int>" * with_ids)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
