@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,11 +60,11 @@ def capped_targets(sizes: dict, weights: dict, total: float, cap: float) -> dict
 
 
 def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule], *, share: float = 1.0, cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, taken, takes.
+    """One row a document: doc_id, source, size, source_size, target, taken, takes, turn.
 
     schedule_of(n, source) gives the schedule of the n-th source by code point, null
     last. takes lists each pass that uses the document: pass number, words used and
-    training position. Only the table of sources, one row each, visits the driver:
+    training position; turn is the hash of id and text that orders the source. Only the table of sources, one row each, visits the driver:
     the mixing recipe is the user's and names every source.
     """
     spark = docs.sparkSession
@@ -73,7 +73,7 @@ def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule]
             "doc_id",
             "source",
             F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"),
-            F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text")).alias("turn"),
+            turn_of(seed).alias("turn"),
         ),
         "mix-sizes",
     )
@@ -126,14 +126,36 @@ def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule]
         "target",
         F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"),
         "takes",
+        "turn",
     )
 
 
+def turn_of(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
+
+
 def occurrences(plan: DataFrame) -> DataFrame:
     """One row for each use of a document, range-sorted by training position."""
     return plan.select("*", F.inline("takes")).drop("takes").orderBy("position", "doc_id", "pass")
 
 
+def mixed_texts(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule], *, seed: int = 17, **options) -> DataFrame:
+    """The documents themselves, once for each use, in training order; a use that ends inside a document keeps its first words.
+
+    Takes columns doc_id, text, source and others, and returns the same ones; rows
+    that agree in id and text are taken as one document that occurs as often.
+    """
+    plan = plan_mix(docs, schedule_of, seed=seed, **options)
+    uses = plan.where(F.size("takes") > 0).select(F.col("doc_id").alias("_id"), F.col("turn").alias("_turn"), "size", F.inline("takes"))
+    uses = uses.select("_id", "_turn", F.struct("pass", "words", "position", "size").alias("_use"))
+    texts = docs.withColumn("_turn", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), text_of("text"))).dropDuplicates(["doc_id", "_turn"])
+    used = texts.join(uses.withColumnRenamed("_turn", "_turn2"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_turn") == F.col("_turn2")))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_use.words").cast("int")), " ")
+    cut = F.when(F.col("_use.words") < F.col("_use.size"), first).otherwise(F.col("text"))
+    columns = {"text": cut} | ({"n_chars": F.char_length(cut).cast("long")} if "n_chars" in docs.columns else {})
+    return used.withColumns(columns).orderBy("_use.position", "doc_id", "_use.pass").select(*docs.columns)
+
+
 def curriculum(n: int, source: str | None) -> Schedule:
     """Mean weights 1, 2, 3 in turn: the first kind fades, the second stays level, the third grows."""
     return [[(0.0, 1.5), (1.0, 0.5)], [(0.0, 2.0), (1.0, 2.0)], [(0.0, 1.5), (0.5, 3.0), (1.0, 4.5)]][n % 3]

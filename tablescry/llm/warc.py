@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, save, text_of
+from .common import bound_batches, new_path, save, text_of
 
 SEEK_TABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 INDEX = "bundle string, frame int, at long, packed long, offset long, length long"
@@ -99,6 +99,8 @@ def with_revisits(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_i
 def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = 1 << 20, bundle_bytes: int = 64 << 20, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write the bundles under folder; the index, one row a record."""
 
+    bound_batches(records.sparkSession)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
         import uuid
