@@ -5,9 +5,9 @@ class takes a place in several sorted orders, one for each tree of the forest, b
 values of its own part of the signature. Candidates are neighbours with the longest
 common prefixes, which must reach the least depth; a dense region thus compares at
 greater depth. Confirmed links form components. Regions that hold more than a few
-classes, or that a partition boundary cuts, are then finished exactly: every pair of
-the region that isn't in one component yet, and whose sketches allow the wanted
-likeness, is confirmed too.
+classes, or that a partition boundary cuts, are then finished exactly if they span
+components: their members meet in blocks, each pair of blocks is compared in one
+task, and only a spanning forest of its links comes out.
 
 A pair at Jaccard likeness J shares a region with probability 1 - (1 - J^3)^24; at
 0.75 that is 0.999998. No cap on partners or candidates loses a link.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, text_of
+from .common import bound_batches, delete, partitions, save, text_of
 from .components import components
 
 TREES, DEPTH, LEAST_DEPTH = 24, 6, 3
@@ -111,7 +111,7 @@ def orders(classes: DataFrame) -> DataFrame:
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over one sorted partition: pairs of near neighbours (x, y), and regions (x null) that need finishing."""
+    """Over one sorted partition: pairs of near neighbours (x, y) with their region, and regions (x null) that need finishing."""
     names = ["tree", "p1", "p2", "rep", "n", "s1", "s2"]
     kept = {c: np.empty(0, np.int64) for c in names}
     run, first, last = 0, True, None
@@ -129,7 +129,7 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(m, bool)
         new[1:] = (key[1:] != key[:-1]).any(axis=1)
         region = np.cumsum(new)
-        xs, ys, ts = [], [], []
+        xs, ys, at_ = [], [], []
         for lag in range(1, WINDOW + 1):
             i = np.arange(max(old, lag), m)
             j = i - lag
@@ -140,9 +140,9 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             u, v = cols["rep"][i[good]], cols["rep"][j[good]]
             xs.append(np.minimum(u, v))
             ys.append(np.maximum(u, v))
-            ts.append(cols["tree"][i[good]])
-        x, y, t = map(np.concatenate, (xs, ys, ts))
-        yield rows(x, y, t, np.zeros(len(x), np.int64), np.zeros(len(x), np.int32))
+            at_.append(i[good])
+        x, y, i = map(np.concatenate, (xs, ys, at_))
+        yield rows(x, y, key[i, 0], key[i, 1], key[i, 2])
         # Regions: rows of this batch by run; the run that goes on from the batch before keeps its count.
         starts = np.flatnonzero(new[old:]) + old
         edges = np.unique(np.concatenate([[old], starts, [m]]))
@@ -162,6 +162,30 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows([None], [None], [last[0]], [last[1]], [last[2]])
 
 
+def shingle_sets(texts: DataFrame, wanted: DataFrame, *, bits: int = 25) -> DataFrame:
+    """doc_id, shingles of the wanted documents, without moving any text.
+
+    A bitmap of hashed ids, 4 MB whatever the input, tells workers which texts can be
+    skipped; the exact semi-join follows on the sets that remain.
+    """
+    spot = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)) + 1).cast("long")
+    parts = wanted.groupBy(F.bitmap_bucket_number(spot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect()
+    bitmap = np.zeros((1 << bits) // 8 + 4096, np.uint8)
+    for r in parts:
+        at = (r["k"] - 1) * 4096
+        bitmap[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place = b.column("spot").to_numpy() - 1
+            b = b.filter(pa.array((sent.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_buffer().to_pybytes()).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "shingles"])
+
+    made = texts.where("doc_id is not null").withColumn("spot", spot).mapInArrow(work, "doc_id long, shingles binary")
+    return made.where(F.octet_length("shingles") > 0).join(wanted, "doc_id", "left_semi").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets are alike enough: 100 * intersection >= 75 * union."""
 
@@ -181,35 +205,71 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "left", "right").mapInArrow(work, "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dense_links(table: pa.Table) -> pa.Table:
+    """All links among the documents of one pair of blocks, cut down to a spanning forest.
+
+    Intersections are products of 0/1 matrices over the shingles that two of the
+    documents share; nothing but the links leaves the task.
+    """
+    ids = table.column("rep").to_numpy()
+    sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("shingles")]
+    m = len(ids)
+    sizes = np.fromiter(map(len, sets), np.int64, m)
+    shingle, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+    by = np.argsort(shingle, kind="stable")
+    shingle, owner = shingle[by], owner[by]
+    new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column) > 1
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    both = np.zeros((m, m), np.float32)
+    width = 2048
+    for lo in range(0, int(shared.sum()), width):
+        part = slice(*np.searchsorted(column, [lo, lo + width]))
+        block = np.zeros((m, width), np.float32)
+        block[owner[part], column[part] - lo] = 1
+        both += block @ block.T
+    both = both.astype(np.float64)
+    u, v = np.nonzero(np.triu(100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both), 1))
+    parent = list(range(m))
+
+    def root(n: int) -> int:
+        while parent[n] != n:
+            parent[n] = n = parent[parent[n]]
+        return n
+
+    links = []
+    for a, b in zip(u.tolist(), v.tolist()):
+        p, q = root(a), root(b)
+        if p != q:
+            parent[q] = p
+            links.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+    return pa.table({c: pa.array([x[i] for x in links], pa.int64()) for i, c in enumerate(("x", "y"))})
+
+
+def near_duplicates(docs: DataFrame, *, block: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable), kept."""
-    from .common import partitions
-
     spark = docs.sparkSession
+    bound_batches(spark)
     signed = save(shingle_rows(docs, id_col=id_col, text_col=text_col), "minhash", "lz4")
-    classes = save(
-        signed.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts"), F.first("s1").alias("s1"), F.first("s2").alias("s2")),
-        "classes",
-        "lz4",
-    )
+    one = [F.first(c).alias(c) for c in ("n", "parts", "s1", "s2")]
+    classes = save(signed.where("n > 0 and doc_id is not null").groupBy("a", "b").agg(F.min("doc_id").alias("rep"), *one), "classes", "lz4")
+    signed_ = signed.select("doc_id", "n", "a", "b")
     forest = orders(classes)
-    place = ["tree", "p1", "p2", "r1", "r2", "rep"]
+    region = ["tree", "p1", "p2"]
+    place = [*region, "r1", "r2", "rep"]
     ordered = forest.select(*place, "n", "s1", "s2").repartitionByRange(4 * partitions(spark), *place).sortWithinPartitions(*place)
     found = save(ordered.mapInArrow(neighbours, "x long, y long, tree int, p1 long, p2 int"), "neighbours")
-    pairs = save(found.where("x is not null").groupBy("x", "y").agg(F.count("*").alias("votes")), "pairs")
-    regions = found.where("x is null").select("tree", "p1", "p2").distinct()
-    members = save(forest.join(regions, ["tree", "p1", "p2"]).select("tree", "p1", "p2", "rep", "n", "s1", "s2"), "regions")
-    crowded = members.groupBy("tree", "p1", "p2").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).union(members.join(crowded, ["tree", "p1", "p2"]).select("rep")).distinct()
-
-    def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_buffer().to_pybytes()).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "shingles"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    sets = save(texts.join(wanted, "doc_id", "left_semi").mapInArrow(set_rows, "doc_id long, shingles binary").where(F.octet_length("shingles") > 0).distinct(), "sets", "lz4")
-
-    # First the likeliest partner of each class, then what that leaves in different components.
+    crowded = save(found.where("x is null").select(*region).distinct(), "regions")
+    told = found.where("x is not null").join(crowded.withColumn("crowd", F.lit(True)), region, "left")
+    pairs = save(told.groupBy("x", "y").agg(F.count("*").alias("votes"), F.bool_or(F.col("crowd").isNull()).alias("small")), "pairs")
+    members = save(forest.join(crowded, region).select(*region, "rep"), "members")
+    several = members.groupBy(*region).agg(F.count("*").alias("c")).where("c > 1").select(*region)
+    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).union(members.join(several, region).select("rep"))
+    sets = save(shingle_sets(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), save(wanted.distinct(), "wanted")), "sets", "lz4")
+
+    # The likeliest partner of each class; then pairs of small regions that are in different components still.
     likeliest = pairs.groupBy("y").agg(F.max_by("x", F.struct("votes", -F.col("x"))).alias("x"))
     links = save(confirmed(likeliest, sets), "links")
     roots = components(links)
@@ -218,25 +278,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         r = roots.select(F.col("y").alias(node), F.col("x").alias(out))
         return df.join(r, node, "left").withColumn(out, F.coalesce(out, node))
 
-    apart = root_of(root_of(pairs.select("x", "y"), "x", "rx"), "y", "ry").where("rx <> ry")
-    links = links.unionByName(save(confirmed(apart.select("x", "y"), sets), "links"))
+    apart = root_of(root_of(pairs.where("small").select("x", "y"), "x", "rx"), "y", "ry").where("rx <> ry")
+    more = save(confirmed(apart, sets), "links")
+    links = links.unionByName(more)
     roots = components(links)
 
-    # Regions that the window didn't cover: all pairs of the smaller components with all others, where sketches allow.
-    rooted = save(root_of(members, "rep", "root"), "regions")
-    parts = rooted.groupBy("tree", "p1", "p2", "root").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("tree", "p1", "p2").agg(F.count("*").alias("k"), F.max_by("root", "c").alias("main")).where("k > 1").select("tree", "p1", "p2", "main")
-    inside = rooted.join(mixed, ["tree", "p1", "p2"])
-    one = inside.where("root <> main").select("tree", "p1", "p2", *[F.col(c).alias(f"{c}_") for c in ("rep", "n", "s1", "s2", "root")])
-    near = F.bit_count(F.col("s1").bitwiseXOR(F.col("s1_"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("s2_"))) <= SKETCH_BITS
-    sized = 4 * F.least("n", "n_") >= 3 * F.greatest("n", "n_")
-    rest = one.join(inside, ["tree", "p1", "p2"]).where((F.col("root") != F.col("root_")) & sized & near).select(F.least("rep", "rep_").alias("x"), F.greatest("rep", "rep_").alias("y")).distinct()
-    more = save(confirmed(rest, sets), "links")
-    if more.take(1):
-        roots = components(links.unionByName(more))
+    # Crowded regions that span components: their members, where one region leads to the next, are compared in blocks.
+    rooted = root_of(members, "rep", "root")
+    mixed = rooted.groupBy(region).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("rep").alias("x")).where("least <> most").select(*region, "x")
+    edges = save(members.join(mixed, region).select("x", F.col("rep").alias("y")).distinct(), "mixed")
+    clusters = components(edges.where("x <> y"))
+    grouped = save(edges.select(F.col("y").alias("rep")).distinct().join(clusters.select(F.col("y").alias("rep"), "x"), "rep", "left").select(F.coalesce("x", "rep").alias("cluster"), "rep"), "clusters")
+    counted = grouped.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sized = grouped.join(counted, "cluster").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = sized.join(sets.withColumnRenamed("doc_id", "rep"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "shingles")
+    last = save(met.groupBy("cluster", "i", "j").applyInArrow(dense_links, "x long, y long"), "links")
+    if last.take(1):
+        roots = components(links.unionByName(last))
+    delete(spark, found, crowded, pairs, members, sets, edges, grouped)
 
     to_class = classes.select("a", "b", "rep")
-    out = signed.select("doc_id", "n", "a", "b").join(to_class, ["a", "b"], "left")
-    out = out.join(roots.select(F.col("y").alias("rep"), "x"), "rep", "left")
+    out = signed_.join(to_class, ["a", "b"], "left").join(roots.select(F.col("y").alias("rep"), "x"), "rep", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.when(F.col("n") > 0, F.coalesce("x", "rep")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
