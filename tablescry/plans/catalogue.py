@@ -469,3 +469,34 @@ def windowed_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, -(abs(event_id) // 2) AS half, md5(props) AS digest FROM events WHERE event_id < 0")
 def empty_result(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").where("event_id < 0").select("event_id", (-F.floor(F.abs("event_id") / 2)).alias("half"), F.md5("props").alias("digest"))
+
+
+#: (file name, leading bytes in hex, format, matched_by)
+DETECTED = [
+    ("a.csv", "", "csv", "extension"),
+    ("b.TAR.GZ", "1F8B0800", "archive", "extension"),
+    ("c.xlsx", "D0CF11E0A1B11AE1", "fallback", "ambiguous-container"),
+    ("d", "504B03040000", "fallback", "ambiguous-container"),
+    ("e.gguf", "474946383961", "fallback", "fallback"),
+    ("f.html", "3C68746D6C3E", "fallback", "fallback"),
+    ("g", "53514C69746520666F726D6174203300", "db3", "content"),
+    ("h.jsonl", "7B7D", "jsonl", "extension"),
+]
+
+
+@query("SELECT page_id, x[1] AS name, x[2] AS format, x[3] AS matched_by FROM (SELECT page_id, [" + ", ".join(f"['{n}', '{f}', '{m}']" for n, _, f, m in DETECTED) + "][1 + page_id % 8] AS x FROM pages)")
+def detect_format(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.detect import detect
+
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.unhex(F.lit(h)).alias("head")) for n, h, _, _ in DETECTED])
+    files = load(spark, d, "pages").select("page_id", F.get(rows, (F.col("page_id") % 8).cast("int")).alias("x")).select("page_id", "x.name", "x.head")
+    return detect(files, head="head").select("page_id", "name", "format", "matched_by")
+
+
+@query("SELECT doc_id, i - 1 AS node, regexp_extract(l[i], '^(#+) ', 1) AS marks FROM (SELECT doc_id, ['# ' || lang, 'x', '## ' || source || ' ##'] AS l FROM documents), LATERAL (SELECT unnest([1, 3]) AS i)")
+def markdown_outline(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.documents import headings
+
+    md = load(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), "lang", F.lit("\nx\n## "), "source", F.lit(" ##\n")).alias("md"))
+    out = headings(md, id_col="doc_id", text_col="md")
+    return out.select("doc_id", F.when(F.col("level") == 1, 0).otherwise(2).cast("long").alias("node"), F.repeat(F.lit("#"), F.col("level")).alias("marks"))
