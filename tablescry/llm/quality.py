@@ -86,7 +86,8 @@ class Grams:
 
 
 def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
-    return (stirred(grams) >> np.uint64(32)) % np.uint64(buckets)
+    """By the first three bytes: n-grams that begin alike travel together, as small steps."""
+    return (stirred(grams >> np.uint64(16)) >> np.uint64(32)) % np.uint64(buckets)
 
 
 def held_out(ids: np.ndarray) -> np.ndarray:
@@ -104,7 +105,7 @@ def packed(docs: DataFrame, shard_bytes: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             nonlocal number, ids, langs, texts, held
             row = pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([pack(ids, langs, np.fromiter(map(len, texts), np.int64, len(texts)), b"".join(texts))], pa.binary())],
+                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([pack(ids, langs, np.fromiter(map(len, texts), np.int64, len(texts)), b"".join(texts), level=3)], pa.binary())],
                 ["shard", "ids", "data"],
             )
             number, ids, langs, texts, held = number + 1, [], [], [], 0
@@ -157,16 +158,26 @@ def sent(rows: DataFrame, buckets: int) -> DataFrame:
                 for k in range(buckets):
                     if cuts[k] < cuts[k + 1]:
                         part = by[cuts[k] : cuts[k + 1]]
-                        out.append((shard, k, pack(np.diff(known.keys[part], prepend=np.uint64(0)), counts[part].astype(np.uint32))))
+                        out.append((shard, k, pack(planes(np.diff(known.keys[part], prepend=np.uint64(0))), planes(counts[part].astype(np.uint32)))))
             kinds = (pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["shard", "bucket", "data"])
 
     return rows.select("shard", "data", "trusted").mapInArrow(work, "shard long, bucket int, data binary")
 
 
+def planes(values: np.ndarray) -> bytes:
+    """First bytes of all values, then second ones and so on: small values leave runs of zeros that compress away."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+
+
 def opened(data: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     steps, counts = unpack(data.as_buffer())
-    return np.cumsum(steps, dtype=np.uint64), counts
+    return np.cumsum(unplaned(steps, np.uint64), dtype=np.uint64), unplaned(counts, np.uint32)
 
 
 def summed(table: pa.Table) -> pa.Table:
@@ -186,7 +197,7 @@ def answered(asked: pa.Table, known: pa.Table) -> pa.Table:
     out = []
     for d in asked.column("data"):
         g, _ = opened(d)
-        out.append(pack(g, cost[np.searchsorted(gram, g)]))
+        out.append(pack(planes(np.diff(g, prepend=np.uint64(0))), planes(cost[np.searchsorted(gram, g)])))
     return pa.table({"shard": asked.column("shard"), "costs": pa.array(out, pa.binary())})
 
 
@@ -200,7 +211,9 @@ def scored(rows: DataFrame) -> DataFrame:
                 good, held = trained(ids, trusted)
                 total = np.zeros(len(ids))
                 if answers.is_valid:
-                    gram, cost = (np.concatenate(c) for c in zip(*(unpack(a.as_buffer()) for a in answers.values)))
+                    told = [unpack(a.as_buffer()) for a in answers.values]
+                    gram = np.concatenate([np.cumsum(unplaned(g, np.uint64), dtype=np.uint64) for g, _ in told])
+                    cost = np.concatenate([unplaned(c, np.uint16) for _, c in told])
                     by = np.argsort(gram)
                     known, cost = Grams(gram[by]), cost[by].astype(np.float64)
                     for doc, g in blocks(text, sizes):
@@ -246,7 +259,7 @@ def probabilities(grams: DataFrame) -> DataFrame:
     return p
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, *, shard_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, *, shard_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, held (trusted, but not trained on)."""
     spark = docs.sparkSession
     bound_batches(spark)
