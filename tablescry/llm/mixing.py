@@ -109,12 +109,12 @@ def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule]
 
     def take(n):
         at = n * F.col("source_size") + F.col("before")
-        reached = F.least(at / F.col("target"), F.lit(1.0)) * F.col("whole")
+        reached = F.least(F.coalesce(F.try_divide(at, "target"), F.lit(0.0)), F.lit(1.0)) * F.col("whole")
         piece = F.element_at(F.filter("pieces", lambda p: (p["done"] <= reached) & ((p["w0"] + p["w1"]) > 0)), -1)
         rest = reached - piece["done"]
         slope = (piece["w1"] - piece["w0"]) / piece["dt"]
         root = piece["w0"] + F.sqrt(F.greatest(piece["w0"] * piece["w0"] + 2 * slope * rest, F.lit(0.0)))
-        into = F.when(rest <= 0, F.lit(0.0)).otherwise(F.least(2 * rest / root, piece["dt"]))
+        into = F.when(rest <= 0, F.lit(0.0)).otherwise(F.least(F.try_divide(2 * rest, root), piece["dt"]))
         return F.struct(n.alias("pass"), F.least(F.col("size"), goal - at).alias("words"), (piece["t0"] + into).alias("position"))
 
     takes = F.filter(F.transform(F.sequence(F.lit(0), F.coalesce(passes, F.lit(0))), take), lambda x: x["words"] > 0)

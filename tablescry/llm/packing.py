@@ -160,8 +160,12 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int, steps: int
     return [b for b in bins if b]
 
 
-def pack(rows: DataFrame, *, capacity: int = 4096, group_rows: int = 16_384, rounds: int = 3) -> DataFrame:
-    """The pieces with sequence_id, offset (gapless from 0) and room (what is left of their sequence)."""
+def pack(rows: DataFrame, *, capacity: int = 4096, group_rows: int = 16_384, rounds: int = 4) -> DataFrame:
+    """The pieces with sequence_id, offset (gapless from 0) and room (what is left of their sequence).
+
+    A round's sequences with more than a 256th of room go to the next, until one group holds them.
+    """
+    spare = capacity // 256
 
     def packer(turn: int):
         def pack_group(table: pa.Table) -> pa.Table:
@@ -191,11 +195,11 @@ def pack(rows: DataFrame, *, capacity: int = 4096, group_rows: int = 16_384, rou
         dealt = left.withColumn("group", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
         packed = save(dealt.groupBy("group").applyInArrow(packer(turn), PACKED), "packed")
         last = groups == 1 or turn == rounds - 1
-        kept = packed if last else packed.where(F.col("room") == 0)
+        kept = packed if last else packed.where(F.col("room") <= spare)
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
-        left = packed.where(F.col("room") > 0).select("doc_id", "piece", "start", "length", "ids_crc32")
+        left = packed.where(F.col("room") > spare).select("doc_id", "piece", "start", "length", "ids_crc32")
     return done
 
 
