@@ -44,7 +44,7 @@ def save(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
 def save_by(df: DataFrame, label: str, key: str, parts: int) -> DataFrame:
     """Like save(), bucketed by a key: later joins on the key leave these rows where they are."""
     name = f"tablescry_{uuid.uuid4().hex[:12]}"
-    few_files(df).write.bucketBy(parts, key).option("path", new_path(df.sparkSession, label)).option("compression", "lz4").saveAsTable(name)
+    df.write.bucketBy(parts, key).option("path", new_path(df.sparkSession, label)).option("compression", "lz4").saveAsTable(name)
     return df.sparkSession.table(name)
 
 
