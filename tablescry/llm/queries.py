@@ -34,4 +34,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_vp_neighbours": lambda spark, d: vptree.neighbours(table(spark, d, "embeddings")),
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.LINES_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op5_warc_bundles": warc.PAGES_SQL,
+    "op6_suffix_dedup": suffix_dedup.REPEATS_SQL,
+    "op7_near_dedup": near_dedup.NEAR_SQL,
+    "op8_line_dedup": line_dedup.LINES_SQL,
+}

@@ -40,7 +40,7 @@ PIECE = 64
 MERGE = 1_000_000
 PARTS = 4
 LAST = np.iinfo(np.int64).max
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept_sha256 string"
 
 
 def pack(*arrays, level: int = 1) -> bytes:
@@ -263,7 +263,7 @@ def merged(width: int):
     return work
 
 
-def cut(rows: DataFrame, width: int) -> DataFrame:
+def cut(rows: DataFrame, width: int, with_text: bool) -> DataFrame:
     """The documents of each shard without what they lose. rows: shard, data, places, found (bucket and runs)."""
 
     def spans_of(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -290,22 +290,29 @@ def cut(rows: DataFrame, width: int) -> DataFrame:
             whole = np.frombuffer(text, np.uint8)
             for doc_id, end, size in zip(ids, ends.tolist(), sizes.tolist()):
                 mine = lost[end - size : end]
-                spans = int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum())
-                yield doc_id, whole[end - size : end], mine, spans
+                yield doc_id, whole[end - size : end], mine, bool(mine.any())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+        kinds = [pa.int64(), pa.int64(), pa.list_(span), pa.string(), pa.binary()]
+        names = ["doc_id", "n_bytes", "removed", "kept_sha256", "kept"]
+        width_ = 4 + with_text
         for b in batches:
-            out = [(d, len(t), int(m.sum()), s, hashlib.sha256((t[~m] if s else t).tobytes()).hexdigest()) for d, t, m, s in spans_of(b)]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            out = []
+            for doc_id, text, mine, any_ in spans_of(b):
+                kept = (text[~mine] if any_ else text).tobytes()
+                step = np.diff(mine.astype(np.int8), prepend=0, append=0) if any_ else np.empty(0, np.int8)
+                spans = [{"start": a, "end": z} for a, z in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist())]
+                out.append((doc_id, len(text), spans, hashlib.sha256(kept).hexdigest(), kept))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds[:width_])], names[:width_])
 
-    return rows.select("shard", "data", "places", "found").mapInArrow(work, RESULT)
+    return rows.select("shard", "data", "places", "found").mapInArrow(work, RESULT + ", kept binary" * with_text)
 
 
-def without_repeats(docs: DataFrame, *, width: int = 50, shard_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def repeats(docs: DataFrame, *, width: int = 50, shard_bytes: int = 2 << 20, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, removed (spans of bytes), kept_sha256 and, if wanted, kept: the bytes that stay."""
     if width % 2 or width <= GRAM:
         raise ValueError(f"width must be even and over {GRAM}")
     spark = docs.sparkSession
@@ -320,4 +327,21 @@ def without_repeats(docs: DataFrame, *, width: int = 50, shard_bytes: int = 2 <<
     found = held.where("bucket is not null").groupBy("bucket").applyInArrow(merged(width), "shard long, bucket int, runs binary")
     found = save(found, "bwt-runs", "lz4").groupBy("shard").agg(F.collect_list(F.struct("bucket", "runs")).alias("found"))
     places = held.where("bucket is null").select("shard", F.col("data").alias("places"))
-    return cut(packed.join(places, "shard", "left").join(found, "shard", "left"), width)
+    return cut(packed.join(places, "shard", "left").join(found, "shard", "left"), width, with_text)
+
+
+def without_repeats(docs: DataFrame, **options) -> DataFrame:
+    """The digest for the query."""
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return repeats(docs, **options).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), w AS (SELECT doc_id, i, b[i : i + 49] AS s FROM d, LATERAL (SELECT unnest(range(1, octet_length(b) - 48)) AS i)),
+  g AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, 0) AS new FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE first < doc_id),
+  p AS (SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g) GROUP BY doc_id, k),
+  c AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, list(lo ORDER BY lo) AS lo, list(hi ORDER BY lo) AS hi FROM p GROUP BY doc_id)
+SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(0, coalesce(len(lo), 0) + 1), lambda k: hex(b[CASE WHEN k = 0 THEN 1 ELSE hi[k] END : CASE WHEN k = coalesce(len(lo), 0) THEN octet_length(b) ELSE lo[k + 1] - 1 END])), ''))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""

@@ -203,3 +203,10 @@ def archived_pages(pages: DataFrame) -> DataFrame:
     """The digest for the query: write all pages, then read every record back through the index."""
     folder = new_path(pages.sparkSession, "warc")
     return read_records(write_bundles(with_revisits(pages), folder), folder)
+
+
+PAGES_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS x FROM p),
+  b AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + CAST((CAST('0x' || substr(x, 10 * (i // 8) + 1, 10) AS BIGINT) >> CAST(35 - 5 * (i % 8) AS INT)) & 31 AS BIGINT)]), '') AS payload_digest, min(page_id) OVER (PARTITION BY x, payload_bytes) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM b
+"""

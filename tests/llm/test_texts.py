@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tablescry.llm import bwt, components, line_dedup, near_dedup, secret_scan, suffix_dedup, syncmers
+from tablescry.llm import bwt, components, line_dedup, near_dedup, queries, secret_scan, suffix_dedup, syncmers
 
 from . import brute
 from ..compare import same
@@ -28,6 +28,11 @@ def clashing(df):
     return df.withColumns({c: F.lit("x") for c in ("size", "key", "a", "b", "n", "pos", "rep", "spot", "shard", "bucket", "cut", "own", "_text", "group", "line")})
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_agree_with_sql(spark, sf, name):
+    same(queries.QUERIES[name](spark, sf), queries.ORACLE_SQL[name], sf)
+
+
 def test_lines(spark, sf, rows):
     df = spark.createDataFrame(rows, DOCS)
     assert got(line_dedup.deduplicated_lines(df)) == brute.lines(rows)
@@ -123,6 +128,9 @@ def test_substrings(spark, rows):
         df = clashing(spark.createDataFrame(texts, DOCS)).repartition(3)
         assert got(suffix_dedup.without_repeats(df, **options)) == brute.substrings(texts)
     assert got(suffix_dedup.without_repeats(spark.createDataFrame([], DOCS))) == []
+    texts = [(1, "x" + "y" * 60), (2, "ab" + "y" * 60 + "c")]
+    out = suffix_dedup.repeats(spark.createDataFrame(texts, DOCS), with_text=True).where("doc_id = 2").first()
+    assert bytes(out["kept"]) == b"abc" and [tuple(s) for s in out["removed"]] == [(2, 62)]
     last = suffix_dedup.without_repeats(spark.createDataFrame([(None, "q" * 60), (1, "q" * 60)], DOCS)).collect()
     assert {(r["doc_id"], r["n_removed"]) for r in last} == {(None, 60), (1, 0)}
 
