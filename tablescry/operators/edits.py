@@ -6,6 +6,7 @@ table of any size is edited lazily and nothing is rewritten until it is saved.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
@@ -141,3 +142,18 @@ def moved(lines: DataFrame, line: int, up: bool) -> DataFrame:
     other = line - 1 if up else line + 1
     swapped = F.when(F.col("line") == line, other).when(F.col("line") == other, line).otherwise(F.col("line"))
     return lines.withColumn("line", F.when(F.lit(other) < 1, F.col("line")).otherwise(swapped))
+
+
+def reparsed(session: Session, make: Callable[[], Table]) -> Session:
+    """A session over the source read another way; refused while there are edits that aren't saved."""
+    return session if session.dirty else Session(make())
+
+
+def replaced(session: Session, new: Table, status: str) -> Session:
+    """A session over a whole new document, only if it was read without loss."""
+    return replace(Session(new), saved=None) if status == "ok" else session
+
+
+def sheet_edit(sheets: dict[str, Session], name: str, edit: Edit) -> dict[str, Session]:
+    """An edit of one sheet of a workbook; each sheet has its own history."""
+    return sheets | {name: sheets[name].dispatch(edit)}

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import values as V
-from ..operators import cells, edits, lookups, order, search, sequences, stats, unions
-from ..sources import delimited, jsontext
+from ..operators import cells, edits, lookups, order, search, sequences, stats, tensors, trees, unions
+from ..sources import columnar, delimited, documents, jsontext
 from .view import View
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,7 +397,7 @@ def export_envelope(spark: SparkSession, d: str) -> DataFrame:
 def flat_tree(spark: SparkSession, d: str) -> DataFrame:
     nested = load(spark, d, "events").select("event_id", F.concat(F.lit('{"a":'), "props", F.lit(',"b":[]}')).alias("t"))
     tree = jsontext.nodes(nested, id_col="event_id", text_col="t")
-    return tree.where("children = 0 and kind not in ('object', 'array')").select("doc_id", "path", "value")
+    return trees.leaves(tree).select("doc_id", "path", "value")
 
 
 @query("SELECT event_id AS doc_id, unnest(['$', '$.a', '$.a.' || j.key]) AS path FROM events, json_each(props) j WHERE contains(lower(j.key || ' $.a.' || j.key || ' ' || CAST(j.value AS VARCHAR)), '87')")
@@ -500,3 +500,62 @@ def markdown_outline(spark: SparkSession, d: str) -> DataFrame:
     md = load(spark, d, "documents").select("doc_id", F.concat(F.lit("# "), "lang", F.lit("\nx\n## "), "source", F.lit(" ##\n")).alias("md"))
     out = headings(md, id_col="doc_id", text_col="md")
     return out.select("doc_id", F.when(F.col("level") == 1, 0).otherwise(2).cast("long").alias("node"), F.repeat(F.lit("#"), F.col("level")).alias("marks"))
+
+
+@query("SELECT event_id, j.key || chr(10) || CAST(j.value AS VARCHAR) AS csv, '<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || '<root>' || chr(10) || '  <' || j.key || '>' || CAST(j.value AS VARCHAR) || '</' || j.key || '>' || chr(10) || '</root>' AS xml, j.key || ': ' || CAST(j.value AS VARCHAR) AS yaml, '{' || chr(10) || '  \"' || j.key || '\": ' || CAST(j.value AS VARCHAR) || chr(10) || '}' AS pretty FROM events, json_each(props) j")
+def json_convert(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "events").select("event_id", *[jsontext.tool(F.col("props"), t).alias(t) for t in ("csv", "xml", "yaml", "pretty")])
+
+
+@query("SELECT doc_id, text, false AS can_save FROM documents WHERE text <> ''")
+def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    rows = jsontext.lines(load(spark, d, "documents"), id_col="doc_id", text_col="text")
+    return jsontext.joined(rows, id_col="doc_id")
+
+
+@query("SELECT event_id AS doc_id, unnest(['$', '$.a', '$.b']) AS path FROM events")
+def tree_expanded(spark: SparkSession, d: str) -> DataFrame:
+    nested = load(spark, d, "events").select("event_id", F.concat(F.lit('{"a":'), "props", F.lit(',"b":[]}')).alias("t"))
+    return trees.expanded(jsontext.nodes(nested, id_col="event_id", text_col="t"), 1).select("doc_id", "path")
+
+
+@query("SELECT event_id AS doc_id, unnest(['$', '$.a']) AS path FROM events, json_each(props) j WHERE contains(lower(j.key || ' $.a.' || j.key || ' number ' || CAST(j.value AS VARCHAR)), '87')")
+def tree_opened(spark: SparkSession, d: str) -> DataFrame:
+    nested = load(spark, d, "events").select("event_id", F.concat(F.lit('{"a":'), "props", F.lit(',"b":[]}')).alias("t"))
+    tree = jsontext.nodes(nested, id_col="event_id", text_col="t")
+    return trees.opened_for(tree, search.tree_search(tree, "87").select("doc_id", "lineage")).select("doc_id", "path")
+
+
+def as_tensors(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ("F32", "Q8_0", "F4", "mystery", "F6_E2M3")))
+    part = load(spark, d, "part").where("p_partkey <= 200")
+    return part.select(F.col("p_partkey").alias("name"), F.get(kinds, (F.col("p_partkey") % 5).cast("int")).alias("dtype"), (F.col("p_size") * 32).cast("long").alias("elements"), (F.col("p_partkey") * 1000).alias("begin"), (F.col("p_partkey") * 1000 + F.col("p_size") * 34).alias("end"))
+
+
+@query("""WITH t AS (SELECT p_partkey AS name, ['F32', 'Q8_0', 'F4', 'mystery', 'F6_E2M3'][1 + p_partkey % 5] AS dtype, p_size * 32 AS n, p_size * 34 AS have FROM part WHERE p_partkey <= 200),
+  s AS (SELECT *, CASE dtype WHEN 'F32' THEN n * 4 WHEN 'Q8_0' THEN n // 32 * 34 WHEN 'F4' THEN n // 2 WHEN 'F6_E2M3' THEN n * 6 // 8 END AS bytes FROM t)
+SELECT name, CAST(bytes AS BIGINT) AS bytes, CASE WHEN bytes IS NULL THEN 'unknown dtype' WHEN bytes <> have THEN 'size' END AS problem FROM s""")
+def tensor_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return tensors.sized(as_tensors(spark, d)).select("name", "bytes", "problem")
+
+
+@query("""WITH t AS (SELECT p_partkey AS b, ['F32', 'Q8_0', 'F4', 'mystery', 'F6_E2M3'][1 + p_partkey % 5] AS dtype, p_size * 32 AS n FROM part WHERE p_partkey <= 200)
+SELECT count(*) AS tensors, CAST(sum(n) AS BIGINT) AS elements, 'F32,F4,F6_E2M3,Q8_0,mystery' AS dtypes, (SELECT dtype FROM t GROUP BY dtype ORDER BY count(*) DESC, min(b) LIMIT 1) AS dominant FROM t""")
+def tensor_totals(spark: SparkSession, d: str) -> DataFrame:
+    return tensors.totals(as_tensors(spark, d)).select("tensors", F.col("elements").cast("long").alias("elements"), F.array_join("dtypes", ",").alias("dtypes"), "dominant")
+
+
+@query("""SELECT '{"format":"tablescry/parquet-export@1","schema":[{"name":"r_regionkey","type":"int"},{"name":"r_name","type":"string"}],"headers":["r_regionkey","r_name"],"rows":' || CAST(to_json(list([CAST(r_regionkey AS VARCHAR), r_name] ORDER BY r_regionkey)) AS VARCHAR) || ',"metadata":{"rowCount":' || count(*) || '}}' AS json FROM region""")
+def parquet_envelope(spark: SparkSession, d: str) -> DataFrame:
+    return columnar.envelope(load(spark, d, "region"), "r_regionkey")
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER () - 1 AS i FROM orders) WHERE i >= 300 AND i < 350")
+def row_window(spark: SparkSession, d: str) -> DataFrame:
+    return columnar.read(spark, f"{d}/orders.parquet", start=300, count=50).select("o_orderkey")
+
+
+@query("SELECT doc_id, ['flowchart', 'plantuml', 'sequenceDiagram', ''][1 + doc_id % 4] AS kind FROM documents")
+def diagram_kinds(spark: SparkSession, d: str) -> DataFrame:
+    heads = F.array(*map(F.lit, ("%% x\nflowchart TD", "@startuml\nA->B", "sequenceDiagram", "none")))
+    return load(spark, d, "documents").select("doc_id", documents.diagram_kind(F.get(heads, (F.col("doc_id") % 4).cast("int"))).alias("kind"))
