@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, delete, partitions, save, save_by, text_of
+from .common import bound_batches, delete, few_files, partitions, save, save_by, text_of
 from .suffix_dedup import pack, stirred, unpack
 
 ORDER = 5
@@ -265,7 +265,7 @@ def perplexities(docs: DataFrame, labels: DataFrame, *, shard_bytes: int = 4 <<
     bound_batches(spark)
     buckets = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
-    shards = save_by(packed(rows, shard_bytes), "lm-shards", "shard", buckets)
+    shards = save_by(few_files(packed(rows, shard_bytes)), "lm-shards", "shard", buckets)
     trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     members = shards.select("shard", F.explode("ids").alias("doc_id")).join(trusted, "doc_id").groupBy("shard").agg(F.collect_list("doc_id").alias("trusted"))
     members = save(members, "lm-trusted")
