@@ -232,3 +232,18 @@ def test_detection(spark, name, head, text, want):
     df = spark.createDataFrame([(name, bytearray(head), text)], "name string, head binary, text string")
     r = detect.detect(df, head="head", text="text").first()
     assert (r["format"], r["matched_by"]) == want
+
+
+def test_inspect_folder(spark, tmp_path):
+    from tablescry.sources import inspect
+
+    (tmp_path / "a.toml").write_text("x = 1\n")
+    (tmp_path / "b").write_bytes(office.write_workbook({"S": [["v", 1]]}))
+    (tmp_path / "c.bin").write_bytes(b"\0\1\2")
+    (tmp_path / "d.unknown").write_text('{"a": 1}')
+    (tmp_path / "e.dbf").write_bytes(b"short")
+    kinds = {r["name"]: (r["format"], r["matched_by"]) for r in inspect.formats(spark, str(tmp_path)).collect()}
+    assert kinds == {"a.toml": ("toml", "extension"), "b": ("fallback", "ambiguous-container"), "c.bin": ("fallback", "fallback"), "d.unknown": ("json", "content"), "e.dbf": ("fallback", "fallback")}
+    out = inspect.summaries(spark, str(tmp_path)).cache()
+    by = {r["path"].rpartition("/")[2]: r["format"] for r in out.select("path", "format").distinct().collect()}
+    assert by == {"a.toml": "TOML", "b": "EXCEL", "c.bin": "HEX", "d.unknown": "TEXT", "e.dbf": "TEXT"}
