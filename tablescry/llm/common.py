@@ -45,15 +45,25 @@ def save_by(df: DataFrame, label: str, key: str, parts: int) -> DataFrame:
     """Like save(), bucketed by a key: later joins on the key leave these rows where they are."""
     name = f"tablescry_{uuid.uuid4().hex[:12]}"
     df.write.bucketBy(parts, key).option("path", new_path(df.sparkSession, label)).option("compression", "lz4").saveAsTable(name)
-    return df.sparkSession.table(name)
+    out = df.sparkSession.table(name)
+    out._catalog_name = name
+    return out
 
 
 def delete(spark: SparkSession, *tables: DataFrame) -> None:
-    """Remove tables made by save() that nothing reads any more."""
+    """Remove tables made by save() or save_by() that nothing reads any more."""
     for table in tables:
         for name in {f.rpartition("/")[0] for f in table.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if name := getattr(table, "_catalog_name", None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this library from the shared folder; results must have been written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tablescry")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
