@@ -57,17 +57,17 @@ def merge(parts: list[Collection], depth: int) -> tuple[np.ndarray, np.ndarray,
     common = np.full(total, depth, np.int32)
     common[:1] = 0
     symbols = np.empty(total, np.uint16)
+    cut = np.zeros(max(total - 1, 0), bool)
     for step in range(depth // 2):
         for i, p in enumerate(parts):
-            symbols[part == i] = p.before
+            symbols[np.flatnonzero(part == i)] = p.before
         order = np.argsort(symbols, kind="stable")
         part, s, g = part[order], symbols[order], group[order]
+        # Groups only split, and a boundary stays where it is: a new one has the prefix of the step before in common.
         new = (s[1:] != s[:-1]) | (g[1:] != g[:-1])
-        group = np.zeros(total, np.int32)
+        common[1:][np.flatnonzero(new & ~cut)] = 2 * step
+        cut = new
         np.cumsum(new, out=group[1:])
-        common[1:][new & (common[1:] == depth)] = 2 * step
-        if total and group[-1] == total - 1 and step > 0 and len(parts) == 1:
-            break
     return part, group, common
 
 

@@ -5,6 +5,8 @@ with a smaller id. Every window of that width has an anchor, its gram of 20 byte
 the least hash, so equal windows have equal anchors; neighbouring windows with one
 anchor form a piece. Documents are packed in shards, and anchors are dealt over buckets:
 
+Documents that equal one with a smaller id lose all and are set aside first, by hash.
+
 1. each shard sends its distinct anchors; buckets tell which occur in two documents;
 2. each shard sends the pieces of those, copies collapsed, with their smallest id;
 3. buckets collapse equal pieces of all shards; where an anchor still has several
@@ -38,7 +40,7 @@ GRAM = 20
 PIECE = 64
 #: Symbols that are merged at once; anchors are independent of each other, so whole anchors make up a merge.
 MERGE = 1_000_000
-PARTS = 4
+PARTS = 2
 LAST = np.iinfo(np.int64).max
 RESULT = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept_sha256 string"
 
@@ -110,36 +112,23 @@ def split_anchor(anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarr
     return ((anchor >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), anchor.astype(np.uint32)
 
 
-def shards(docs: DataFrame, buckets: int, width: int, shard_bytes: int) -> DataFrame:
-    """shard, bucket (null: the documents themselves), data."""
+def packed(docs: DataFrame, width: int, shard_bytes: int) -> DataFrame:
+    """shard, ids, prints (128-bit hashes of texts no shorter than the window), data."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
         from pyspark import TaskContext
 
         number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
 
         def close() -> pa.RecordBatch:
             nonlocal number, ids, texts, held
-            data, sizes = b"".join(texts), np.fromiter(map(len, texts), np.int64, len(texts))
-            order = np.array([LAST if i is None else i for i in ids], np.int64)
-            start, _, anchor = anchored(data, sizes, width)
-            owner = order[np.searchsorted(np.cumsum(sizes), start, "right")]
-            bucket, low = split_anchor(anchor, buckets)
-            key = bucket.astype(np.uint64) << np.uint64(32) | low
-            by = np.argsort(key)
-            key, owner = key[by], owner[by]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-            several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first) if len(first) else np.empty(0, bool)
-            key = key[first]
-            cuts = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-            rows = [(number, None, pack(ids, sizes, data))]
-            for b in range(buckets):
-                if cuts[b] < cuts[b + 1]:
-                    part = slice(cuts[b], cuts[b + 1])
-                    rows.append((number, b, key[part].astype(np.uint32).tobytes() + np.packbits(several[part]).tobytes()))
+            order = [LAST if i is None else i for i in ids]
+            prints = [xxhash.xxh3_128_digest(t) if len(t) >= width else None for t in texts]
+            data = pack(ids, np.fromiter(map(len, texts), np.int64, len(texts)), b"".join(texts))
+            row = [pa.array([number], pa.int64()), pa.array([order], pa.list_(pa.int64())), pa.array([prints], pa.list_(pa.binary())), pa.array([data], pa.binary())]
             number, ids, texts, held = number + 1, [], [], 0
-            kinds = (pa.int64(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["shard", "bucket", "data"])
+            return pa.RecordBatch.from_arrays(row, ["shard", "ids", "prints", "data"])
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -151,7 +140,53 @@ def shards(docs: DataFrame, buckets: int, width: int, shard_bytes: int) -> DataF
         if ids:
             yield close()
 
-    return docs.mapInArrow(work, "shard long, bucket int, data binary")
+    return docs.mapInArrow(work, "shard long, ids array<long>, prints array<binary>, data binary")
+
+
+def copies(shards: DataFrame) -> DataFrame:
+    """shard, copies: places of documents that equal one with a smaller id. They go whole, so nothing more is asked of them."""
+    each = shards.select("shard", F.posexplode(F.arrays_zip("ids", "prints")).alias("place", "x")).select("shard", "place", F.col("x.ids").alias("id"), F.col("x.prints").alias("print")).where("print is not null")
+    first = each.groupBy("print").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return each.join(first, "print").where("id > least").groupBy("shard").agg(F.collect_list("place").alias("copies"))
+
+
+def opened(data: pa.Scalar, gone: list | None) -> tuple[list, np.ndarray, np.ndarray, bytes, np.ndarray]:
+    """ids, order, sizes (0 of copies), the text without copies, and which documents are copies."""
+    ids, sizes, text = unpack(data.as_buffer())
+    copy = np.zeros(len(ids), bool)
+    if gone:
+        copy[gone] = True
+        ends = np.cumsum(sizes)
+        text = b"".join([text[z - n : z] for z, n, c in zip(ends.tolist(), sizes.tolist(), copy.tolist()) if not c])
+    return ids, np.array([LAST if i is None else i for i in ids], np.int64), np.where(copy, 0, sizes), text, copy
+
+
+def anchors(rows: DataFrame, buckets: int, width: int) -> DataFrame:
+    """shard, bucket, data: the distinct anchors of a shard, and whether two of its documents hold them. rows: shard, data, copies."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for shard, data, gone in zip(b.column("shard").to_pylist(), b.column("data"), b.column("copies").to_pylist()):
+                _, order, sizes, text, _ = opened(data, gone)
+                start, _, anchor = anchored(text, sizes, width)
+                owner = order[np.searchsorted(np.cumsum(sizes), start, "right")]
+                bucket, low = split_anchor(anchor, buckets)
+                key = bucket.astype(np.uint64) << np.uint64(32) | low
+                by = np.argsort(key)
+                key, owner = key[by], owner[by]
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+                several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first) if len(first) else np.empty(0, bool)
+                key = key[first]
+                cuts = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+                for k in range(buckets):
+                    if cuts[k] < cuts[k + 1]:
+                        part = slice(cuts[k], cuts[k + 1])
+                        out.append((shard, k, key[part].astype(np.uint32).tobytes() + np.packbits(several[part]).tobytes()))
+            kinds = (pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["shard", "bucket", "data"])
+
+    return rows.select("shard", "data", "copies").mapInArrow(work, "shard long, bucket int, data binary")
 
 
 def shared_anchors(table: pa.Table) -> pa.Table:
@@ -171,13 +206,13 @@ def shared_anchors(table: pa.Table) -> pa.Table:
 
 
 def pieces(rows: DataFrame, buckets: int, width: int) -> DataFrame:
-    """shard, bucket (null: where the shard's pieces stand), data. rows: shard, data, masks (bucket and bits)."""
+    """shard, bucket (null: where the shard's pieces stand), data. rows: shard, data, copies, masks (bucket and bits)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for shard, data, masks in zip(b.column("shard").to_pylist(), b.column("data"), b.column("masks")):
-                ids, sizes, text = unpack(data.as_buffer())
+            for shard, data, gone, masks in zip(b.column("shard").to_pylist(), b.column("data"), b.column("copies").to_pylist(), b.column("masks")):
+                _, order, sizes, text, _ = opened(data, gone)
                 start, count, anchor = anchored(text, sizes, width)
                 bucket, low = split_anchor(anchor, buckets)
                 key = bucket.astype(np.uint64) << np.uint64(32) | low
@@ -193,7 +228,6 @@ def pieces(rows: DataFrame, buckets: int, width: int) -> DataFrame:
                 start, count, key = start[by], count[by], key[by]
                 number: dict[bytes, int] = {}
                 piece = np.fromiter((number.setdefault(text[a:z], len(number)) for a, z in zip(start.tolist(), (start + count + (width - 1)).tolist())), np.int64, len(start))
-                order = np.array([LAST if i is None else i for i in ids], np.int64)
                 owner = np.searchsorted(np.cumsum(sizes), start, "right")
                 least, most = np.full(len(number), LAST), np.full(len(number), np.iinfo(np.int64).min)
                 np.minimum.at(least, piece, order[owner])
@@ -210,7 +244,7 @@ def pieces(rows: DataFrame, buckets: int, width: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["shard", "bucket", "data"])
 
-    return rows.select("shard", "data", "masks").mapInArrow(work, "shard long, bucket int, data binary")
+    return rows.select("shard", "data", "copies", "masks").mapInArrow(work, "shard long, bucket int, data binary")
 
 
 def merged(width: int):
@@ -264,13 +298,13 @@ def merged(width: int):
 
 
 def cut(rows: DataFrame, width: int, with_text: bool) -> DataFrame:
-    """The documents of each shard without what they lose. rows: shard, data, places, found (bucket and runs)."""
+    """The documents of each shard without what they lose. rows: shard, data, copies, places, found (bucket and runs)."""
 
     def spans_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for data, places, found in zip(batch.column("data"), batch.column("places"), batch.column("found")):
-            ids, sizes, text = unpack(data.as_buffer())
+        for data, gone_, places, found in zip(batch.column("data"), batch.column("copies").to_pylist(), batch.column("places"), batch.column("found")):
+            ids, order, sizes, text, copy = opened(data, gone_)
+            full = unpack(data.as_buffer())[1]
             ends = np.cumsum(sizes)
-            order = np.array([LAST if i is None else i for i in ids], np.int64)
             change = np.zeros(len(text) + 1, np.int32)
             if places.is_valid and found.is_valid:
                 piece, start, cuts = unpack(places.as_buffer())
@@ -288,7 +322,10 @@ def cut(rows: DataFrame, width: int, with_text: bool) -> DataFrame:
                     np.add.at(change, spot + hi[run] - 1 + width, -1)
             lost = np.cumsum(change[:-1]) > 0
             whole = np.frombuffer(text, np.uint8)
-            for doc_id, end, size in zip(ids, ends.tolist(), sizes.tolist()):
+            for doc_id, end, size, all_, is_copy in zip(ids, ends.tolist(), sizes.tolist(), full.tolist(), copy.tolist()):
+                if is_copy:
+                    yield doc_id, np.zeros(all_, np.uint8), np.ones(all_, bool), True
+                    continue
                 mine = lost[end - size : end]
                 yield doc_id, whole[end - size : end], mine, bool(mine.any())
 
@@ -308,10 +345,10 @@ def cut(rows: DataFrame, width: int, with_text: bool) -> DataFrame:
                 out.append((doc_id, len(text), spans, hashlib.sha256(kept).hexdigest(), kept))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds[:width_])], names[:width_])
 
-    return rows.select("shard", "data", "places", "found").mapInArrow(work, RESULT + ", kept binary" * with_text)
+    return rows.select("shard", "data", "copies", "places", "found").mapInArrow(work, RESULT + ", kept binary" * with_text)
 
 
-def repeats(docs: DataFrame, *, width: int = 50, shard_bytes: int = 2 << 20, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, *, width: int = 50, shard_bytes: int = 1 << 20, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, removed (spans of bytes), kept_sha256 and, if wanted, kept: the bytes that stay."""
     if width % 2 or width <= GRAM:
         raise ValueError(f"width must be even and over {GRAM}")
@@ -319,15 +356,16 @@ def repeats(docs: DataFrame, *, width: int = 50, shard_bytes: int = 2 << 20, wit
     bound_batches(spark)
     buckets = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    sent = save_by(shards(rows, buckets, width, shard_bytes), "bwt-shards", "shard", buckets)
-    packed = sent.where("bucket is null").select("shard", "data")
-    masks = sent.where("bucket is not null").groupBy("bucket").applyInArrow(shared_anchors, "shard long, bucket int, bits binary")
+    shards = save_by(packed(rows, width, shard_bytes), "bwt-shards", "shard", buckets)
+    whole = shards.select("shard", "data").join(save(copies(shards), "bwt-copies"), "shard", "left")
+    sent = save(anchors(whole, buckets, width), "bwt-anchors", "lz4")
+    masks = sent.groupBy("bucket").applyInArrow(shared_anchors, "shard long, bucket int, bits binary")
     masks = masks.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias("masks"))
-    held = save_by(pieces(packed.join(masks, "shard", "left"), buckets, width), "bwt-pieces", "shard", buckets)
+    held = save(pieces(whole.join(masks, "shard", "left"), buckets, width), "bwt-pieces", "lz4")
     found = held.where("bucket is not null").groupBy("bucket").applyInArrow(merged(width), "shard long, bucket int, runs binary")
     found = save(found, "bwt-runs", "lz4").groupBy("shard").agg(F.collect_list(F.struct("bucket", "runs")).alias("found"))
     places = held.where("bucket is null").select("shard", F.col("data").alias("places"))
-    return cut(packed.join(places, "shard", "left").join(found, "shard", "left"), width, with_text)
+    return cut(whole.join(places, "shard", "left").join(found, "shard", "left"), width, with_text)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
