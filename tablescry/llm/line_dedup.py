@@ -31,7 +31,9 @@ def repeated_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, i
         .agg(F.countDistinct("doc_id").alias("docs"), F.max(F.col("doc_id").isNull()).alias("no_id"), F.max("doc_id").alias("last"))
         .where(F.col("docs") + F.col("no_id").cast("int") >= min_docs)
     )
-    losing = keyed.join(common.select("a", "b", "last"), ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
+    # Written first: a join of two exchanges, not one of an aggregate in place, can split a line that very many documents hold.
+    common = save(common.select("a", "b", "last"), "common-lines")
+    losing = keyed.join(common, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     return losing.groupBy("doc_id", "print").agg(F.collect_set("pos").alias("drop"))
 
 
