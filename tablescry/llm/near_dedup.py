@@ -265,7 +265,8 @@ def near_duplicates(docs: DataFrame, *, block: int = 400, id_col: str = "doc_id"
     told = found.where("x is not null").join(crowded.withColumn("crowd", F.lit(True)), region, "left")
     pairs = save(told.groupBy("x", "y").agg(F.count("*").alias("votes"), F.bool_or(F.col("crowd").isNull()).alias("small")), "pairs")
     members = save(forest.join(crowded, region).select(*region, "rep"), "members")
-    several = members.groupBy(*region).agg(F.count("*").alias("c")).where("c > 1").select(*region)
+    # Tables that joins meet are written first, so that a join of exchanges can split a crowded region.
+    several = save(members.groupBy(*region).agg(F.count("*").alias("c")).where("c > 1").select(*region), "several")
     wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).union(members.join(several, region).select("rep"))
     sets = save(shingle_sets(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), save(wanted.distinct(), "wanted")), "sets", "lz4")
 
@@ -286,6 +287,7 @@ def near_duplicates(docs: DataFrame, *, block: int = 400, id_col: str = "doc_id"
     # Crowded regions that span components: their members, where one region leads to the next, are compared in blocks.
     rooted = root_of(members, "rep", "root")
     mixed = rooted.groupBy(region).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("rep").alias("x")).where("least <> most").select(*region, "x")
+    mixed = save(mixed, "mixed")
     edges = save(members.join(mixed, region).select("x", F.col("rep").alias("y")).distinct(), "mixed")
     clusters = components(edges.where("x <> y"))
     grouped = save(edges.select(F.col("y").alias("rep")).distinct().join(clusters.select(F.col("y").alias("rep"), "x"), "rep", "left").select(F.coalesce("x", "rep").alias("cluster"), "rep"), "clusters")
@@ -296,7 +298,7 @@ def near_duplicates(docs: DataFrame, *, block: int = 400, id_col: str = "doc_id"
     last = save(met.groupBy("cluster", "i", "j").applyInArrow(dense_links, "x long, y long"), "links")
     if last.take(1):
         roots = components(links.unionByName(last))
-    delete(spark, found, crowded, pairs, members, sets, edges, grouped)
+    delete(spark, found, crowded, pairs, members, several, mixed, sets, edges, grouped)
 
     to_class = classes.select("a", "b", "rep")
     out = signed_.join(to_class, ["a", "b"], "left").join(roots.select(F.col("y").alias("rep"), "x"), "rep", "left")
