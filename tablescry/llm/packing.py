@@ -29,7 +29,7 @@ PACKED = PIECES + ", sequence_id long, offset long, room long"
 SEARCH_STEPS = 20_000
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, remembered: int = 400_000, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, remembered: int = 600_000, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32 and, if wanted, ids. The tokenizer file is read here and sent along."""
     bound_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
