@@ -29,7 +29,11 @@ def ascii_lower(text: Column) -> Column:
 
 def parse_numeric(cell: Column) -> Column:
     """The finite number that the whole trimmed cell spells, else null: decimal, or 0x, 0o, 0b without sign."""
-    t = trimmed(cell)
+    return numeric(trimmed(cell))
+
+
+def numeric(t: Column) -> Column:
+    """parse_numeric of a cell that is trimmed already."""
     based = F.lit(None).cast("double")
     for letter, base, digits in (("xX", 16, "0-9a-fA-F"), ("oO", 8, "0-7"), ("bB", 2, "01")):
         based = F.when(t.rlike(f"^0[{letter}][{digits}]+$"), F.conv(F.substring(t, 3, 1 << 20), base, 10).try_cast("double")).otherwise(based)

@@ -11,19 +11,28 @@ from ..functions import values as V
 from .cells import Table
 
 
-def type_aggregate(cell: Column) -> Column:
-    """number, date or text of all cells of a group: blanks don't count, and all blank is text."""
-    full = ~V.is_blank(cell)
-    numbers = F.bool_and(F.when(full, V.parse_numeric(cell).isNotNull()))
-    dates = F.bool_and(F.when(full, V.parse_date_key(V.trimmed(cell)).isNotNull()))
-    return F.when(F.count_if(full) == 0, "text").when(numbers, "number").when(dates, "date").otherwise("text")
+def type_facts(table: Table, columns: list[int]) -> DataFrame:
+    """One row: full<i>, numbers<i>, dates<i> of each column.
+
+    Cells are trimmed in one projection and tested in the next, so that each is
+    computed once however often the tests and aggregates refer to it.
+    """
+    texts = table.rows.select(*[V.trimmed(table.cell(i)).alias(f"t{i}") for i in columns])
+    tested = texts.select(*[c for i in columns for t in (F.col(f"t{i}"),) for c in (
+        (t != "").alias(f"f{i}"), F.when(t != "", V.numeric(t).isNotNull()).alias(f"n{i}"), F.when(t != "", V.parse_date_key(t).isNotNull()).alias(f"d{i}"),
+    )])
+    return tested.agg(*[c for i in columns for c in (F.count_if(f"f{i}").alias(f"full{i}"), F.bool_and(f"n{i}").alias(f"numbers{i}"), F.bool_and(f"d{i}").alias(f"dates{i}"))])
+
+
+def type_of(i: int) -> Column:
+    """number, date or text from the facts of a column: blanks don't count, and all blank is text."""
+    return F.when(F.col(f"full{i}") == 0, "text").when(F.col(f"numbers{i}"), "number").when(F.col(f"dates{i}"), "date").otherwise("text")
 
 
 def column_types(table: Table) -> DataFrame:
     """column, header, type; one pass over the table for all columns."""
-    one = table.rows.agg(*[type_aggregate(table.cell(i)).alias(f"c{i}") for i in range(len(table.headers))])
-    pairs = F.array(*[F.struct(F.lit(i).alias("column"), F.lit(h).alias("header"), F.col(f"c{i}").alias("type")) for i, h in enumerate(table.headers)])
-    return one.select(F.inline(pairs))
+    facts = type_facts(table, list(range(len(table.headers))))
+    return facts.select(F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.lit(h).alias("header"), type_of(i).alias("type")) for i, h in enumerate(table.headers)])))
 
 
 @dataclass(frozen=True)
@@ -47,7 +56,7 @@ def sort_keys(table: Table, sort: Sort, kind: str) -> list[Column]:
 
 
 def inferred(table: Table, column: int) -> str:
-    return table.rows.agg(type_aggregate(table.cell(column))).first()[0]
+    return type_facts(table, [column]).select(type_of(column)).first()[0]
 
 
 def ordered(table: Table, sort: Sort | None, *, kind: str | None = None) -> Table:

@@ -16,15 +16,17 @@ def column_statistics(table: Table) -> DataFrame:
 
     All columns are aggregated in one pass with partial sums; nothing is exploded or shuffled but one row a task.
     """
+    columns = range(len(table.headers))
+    texts = table.rows.select(*[V.trimmed(table.cell(i)).alias(f"t{i}") for i in columns])
+    parsed = texts.select(*[c for i in columns for c in ((F.col(f"t{i}") != "").alias(f"f{i}"), V.numeric(F.col(f"t{i}")).alias(f"v{i}"))])
     aggs = [F.count("*").alias("total")]
-    for i in range(len(table.headers)):
-        c = table.cell(i)
-        full, n = ~V.is_blank(c), V.parse_numeric(c)
+    for i in columns:
+        n = F.col(f"v{i}")
         aggs += [
-            F.count_if(full).alias(f"full{i}"),
+            F.count_if(f"f{i}").alias(f"full{i}"),
             F.count(n).alias(f"n{i}"), F.avg(n).alias(f"mean{i}"), F.min(n).alias(f"min{i}"), F.max(n).alias(f"max{i}"),
         ]
-    one = table.rows.agg(*aggs)
+    one = parsed.agg(*aggs)
 
     def row(i: int) -> Column:
         full, total = F.col(f"full{i}"), F.col("total")
