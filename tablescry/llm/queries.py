@@ -29,7 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc_bundles": lambda spark, d: warc.archived_pages(table(spark, d, "pages")),
     "op6_suffix_dedup": lambda spark, d: few_files(suffix_dedup.without_repeats(table(spark, d, "documents"))),
     "op7_near_dedup": lambda spark, d: few_files(near_dedup.near_duplicates(table(spark, d, "documents"))),
-    "op8_line_dedup": lambda spark, d: line_dedup.deduplicated_lines(table(spark, d, "documents")),
+    "op8_line_dedup": lambda spark, d: few_files(line_dedup.deduplicated_lines(table(spark, d, "documents"))),
     "op9_secret_scan": lambda spark, d: secret_scan.found_secrets(table(spark, d, "documents")),
     "op10_vp_neighbours": lambda spark, d: vptree.neighbours(table(spark, d, "embeddings")),
 }
