@@ -11,14 +11,13 @@ hash, are held out. Documents are packed in shards, a table bucketed by shard nu
    interpolated probability of every n-gram that is needed;
 3. each shard gets its n-grams' probabilities back and adds them up by document.
 
-A document is rejected when its perplexity exceeds its language's limit, which comes
-from two quantiles of the held-out documents: with ratio = high / middle, the limit
-is high * ratio ** stretch, so that a language with wider spread gets more room. A short
-text's mean is noisy: the limit is raised by a factor exp(noise / sqrt(bytes)).
+A document is rejected when its perplexity exceeds its language's limit, a quantile of
+the held-out documents. A short text's mean is noisy: the limit is raised by a factor
+exp(noise / sqrt(bytes)).
 
 All text is counted and scored; the model and what the shards ask for grow with the
 corpus. Defined results: a null or empty text has perplexity 1 and is kept; languages
-with fewer than `enough` held-out documents use the quantiles of all; without any,
+with fewer than `enough` held-out documents use the quantile of all; without any,
 nothing is rejected; a null language is a language; rows that share an id are all
 trusted if one is; an empty table gives an empty result; other columns are ignored.
 """
@@ -282,14 +281,13 @@ def perplexities(docs: DataFrame, labels: DataFrame, *, shard_bytes: int = 4 <<
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, middle: float = 0.5, high: float = 0.99, stretch: float = 2.0, noise: float = 2.0, enough: int = 10, **columns) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, high: float = 0.99, noise: float = 2.0, enough: int = 10, **columns) -> DataFrame:
     """doc_id, lang, n_bytes, perplexity, threshold, kept."""
     scores = perplexities(docs, labels, **columns)
     held = scores.where("held and n_bytes > 0")
-    marks = [F.count("*").alias("n"), F.percentile("perplexity", middle).alias("m"), F.percentile("perplexity", high).alias("h")]
-    limit = F.col("h") * F.pow(F.col("h") / F.col("m"), F.lit(stretch))
-    all_ = held.agg(*marks).select("n", limit.alias("limit")).first()
-    each = held.groupBy(F.col("lang").alias("_lang")).agg(*marks).where(F.col("n") >= enough).select("_lang", limit.alias("_limit"))
+    limit = F.percentile("perplexity", high).alias("_limit")
+    all_ = held.agg(limit).first()
+    each = held.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"), limit).where(F.col("_n") >= enough)
     rows = scores.join(each, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    threshold = F.coalesce("_limit", F.lit(all_["limit"]).cast("double")) * F.exp(noise / F.sqrt(F.greatest("n_bytes", F.lit(1))))
+    threshold = F.coalesce("_limit", F.lit(all_["_limit"]).cast("double")) * F.exp(noise / F.sqrt(F.greatest("n_bytes", F.lit(1))))
     return rows.select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("kept"))

@@ -284,6 +284,22 @@ def test_classifier(spark):
     assert r["good"] > 0.98 and r["bad"] < 0.2
 
 
+@pytest.fixture(scope="module")
+def judged(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    return quality.classify(docs, labels).join(labels, "doc_id", "left").toPandas()
+
+
+def test_limits_are_quantiles(judged):
+    good = judged[(judged.quality == 1) & (judged.toxic == 0)]
+    held = good[quality.held_out(good.doc_id.to_numpy()) & (good.n_bytes > 0)]
+    for lang, rows in judged[judged.n_bytes > 0].groupby("lang"):
+        limit = np.quantile(held.perplexity[held.lang == lang], 0.99)
+        assert np.allclose(rows.threshold, limit * np.exp(2 / np.sqrt(rows.n_bytes)))
+        assert not rows.kept[(rows.quality == 0) & (rows.perplexity > 10)].any()
+
+
 def test_classifier_edges(spark):
     schema = "doc_id long, text string, lang string"
     labels = "doc_id long, quality int, toxic int"
