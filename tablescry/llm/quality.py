@@ -13,17 +13,20 @@ hash, are held out. Documents are packed in shards, a table bucketed by shard nu
 
 A document is rejected when its perplexity exceeds its language's limit, a quantile of
 the held-out documents. A short text's mean is noisy: the limit is raised by a factor
-exp(noise / sqrt(bytes)).
+exp(noise / sqrt(bytes)). Five bytes don't show that a text repeats itself, so a document
+is rejected too when the share of its word trigrams that occurred in it before exceeds a
+limit: the same quantile, but no less than `repeats`, raised in the same way.
 
 All text is counted and scored; the model and what the shards ask for grow with the
 corpus. Defined results: a null or empty text has perplexity 1 and is kept; languages
 with fewer than `enough` held-out documents use the quantile of all; without any,
-nothing is rejected; a null language is a language; rows that share an id are all
+nothing is rejected; a text of less than three words repeats nothing; a null language is a language; rows that share an id are all
 trusted if one is; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +40,7 @@ from .suffix_dedup import pack, stirred, unpack
 ORDER = 5
 #: Probabilities travel as 1/2000 nats in 16 bits.
 STEPS = 2000
-SCORE = "doc_id long, lang string, n_bytes long, log_p double, held boolean"
+SCORE = "doc_id long, lang string, n_bytes long, log_p double, repeated double, held boolean"
 
 
 def blocks(text: bytes, sizes: np.ndarray, block: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -85,6 +88,23 @@ class Grams:
         return out
 
 
+def repeated(text: bytes, block: int = 1 << 20) -> float:
+    """The share of word trigrams that occurred before in the text. Words are split a block at a time."""
+    space, at, parts = re.compile(rb"\s"), 0, [np.empty(0, np.int64)]
+    while at < len(text):
+        end = space.search(text, at + block)
+        stop = end.start() if end else len(text)
+        words = text[at:stop].split()
+        parts.append(np.fromiter(map(hash, words), np.int64, len(words)))
+        at = stop
+    word = np.concatenate(parts).astype(np.uint64)
+    if len(word) < 3:
+        return 0.0
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    gram = np.sort((word[:-2] * factor + word[1:-1]) * factor + word[2:])
+    return np.count_nonzero(gram[1:] == gram[:-1]) / len(gram)
+
+
 def bucket_of(grams: np.ndarray, buckets: int) -> np.ndarray:
     """By the first three bytes: n-grams that begin alike travel together, as small steps."""
     return (stirred(grams >> np.uint64(16)) >> np.uint64(32)) % np.uint64(buckets)
@@ -202,7 +222,7 @@ def answered(asked: pa.Table, known: pa.Table) -> pa.Table:
 
 
 def scored(rows: DataFrame) -> DataFrame:
-    """Log-probability of each document. rows: shard, data, trusted, answers."""
+    """Log-probability and repetition of each document. rows: shard, data, trusted, answers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -218,8 +238,10 @@ def scored(rows: DataFrame) -> DataFrame:
                     known, cost = Grams(gram[by]), cost[by].astype(np.float64)
                     for doc, g in blocks(text, sizes):
                         total += np.bincount(doc, cost[known.find(g)], len(ids))
-                columns = [ids, langs, sizes, -total / STEPS, good & held]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_()))], ["doc_id", "lang", "n_bytes", "log_p", "held"])
+                ends = np.cumsum(sizes)
+                again = [repeated(text[end - size : end]) for size, end in zip(sizes, ends)]
+                columns = [ids, langs, sizes, -total / STEPS, again, good & held]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()))], ["doc_id", "lang", "n_bytes", "log_p", "repeated", "held"])
 
     return rows.select("shard", "data", "trusted", "answers").mapInArrow(work, SCORE)
 
@@ -260,7 +282,7 @@ def probabilities(grams: DataFrame) -> DataFrame:
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, *, shard_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, held (trusted, but not trained on)."""
+    """doc_id, lang, n_bytes, perplexity, repeated, held (trusted, but not trained on)."""
     spark = docs.sparkSession
     bound_batches(spark)
     buckets = partitions(spark)
@@ -276,18 +298,20 @@ def perplexities(docs: DataFrame, labels: DataFrame, *, shard_bytes: int = 4 <<
     answers = asked.groupBy("bucket").cogroup(p.groupBy("bucket")).applyInArrow(answered, "shard long, costs binary")
     answers = save(answers, "lm-answers", "lz4").groupBy("shard").agg(F.collect_list("costs").alias("answers"))
     mean = F.when(F.col("n_bytes") > 0, F.col("log_p") / F.col("n_bytes")).otherwise(0.0)
-    out = save(scored(whole.join(answers, "shard", "left")).select("doc_id", "lang", "n_bytes", F.exp(-mean).alias("perplexity"), "held"), "lm-scores")
+    out = save(scored(whole.join(answers, "shard", "left")).select("doc_id", "lang", "n_bytes", F.exp(-mean).alias("perplexity"), "repeated", "held"), "lm-scores")
     delete(spark, shards, members, asked, grams, p)
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, high: float = 0.99, noise: float = 2.0, enough: int = 10, **columns) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, threshold, kept."""
+def classify(docs: DataFrame, labels: DataFrame, *, high: float = 0.99, noise: float = 2.0, repeats: float = 0.3, enough: int = 10, **columns) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity, threshold, repeated, repeated_threshold, kept."""
     scores = perplexities(docs, labels, **columns)
     held = scores.where("held and n_bytes > 0")
-    limit = F.percentile("perplexity", high).alias("_limit")
-    all_ = held.agg(limit).first()
-    each = held.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"), limit).where(F.col("_n") >= enough)
+    limits = [F.percentile("perplexity", high).alias("_limit"), F.greatest(F.percentile("repeated", high), F.lit(repeats)).alias("_again")]
+    all_ = held.agg(F.count("*").alias("_n"), *limits).first()
+    each = held.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"), *limits).where(F.col("_n") >= enough)
     rows = scores.join(each, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    threshold = F.coalesce("_limit", F.lit(all_["_limit"]).cast("double")) * F.exp(noise / F.sqrt(F.greatest("n_bytes", F.lit(1))))
-    return rows.select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("kept"))
+    room = F.exp(noise / F.sqrt(F.greatest("n_bytes", F.lit(1))))
+    threshold, again = (F.coalesce(c, F.lit(all_[c] if all_["_n"] else None).cast("double")) * room for c in ("_limit", "_again"))
+    kept = F.coalesce((F.col("perplexity") <= threshold) & (F.col("repeated") <= again), F.lit(True))
+    return rows.select("doc_id", "lang", "n_bytes", "perplexity", threshold.alias("threshold"), "repeated", again.alias("repeated_threshold"), kept.alias("kept"))

@@ -300,6 +300,26 @@ def test_limits_are_quantiles(judged):
         assert not rows.kept[(rows.quality == 0) & (rows.perplexity > 10)].any()
 
 
+def test_repetition():
+    text = b"a b c d a b c e f a b c"
+    words = text.split()
+    grams = list(zip(words, words[1:], words[2:]))
+    want = 1 - len(set(grams)) / len(grams)
+    assert 0 < want < 1
+    for block in (1, 3, 7, 1 << 20):
+        assert math.isclose(quality.repeated(text.replace(b" ", b"\n\t "), block), want)
+    assert quality.repeated(b"") == quality.repeated(b"a a") == quality.repeated(b"a b c d") == 0
+    assert quality.repeated(b"Der " * 100) == 1 - 1 / 98
+
+
+def test_repeating_junk_is_rejected(judged):
+    clean = judged[judged.toxic == 0]
+    for lang, rows in clean.groupby("lang"):
+        assert rows.kept[rows.quality == 1].mean() > 0.98, lang
+        assert rows.kept[rows.quality == 0].mean() < 0.05, lang
+    assert not judged.kept[judged.repeated > 0.5].any()
+
+
 def test_classifier_edges(spark):
     schema = "doc_id long, text string, lang string"
     labels = "doc_id long, quality int, toxic int"
