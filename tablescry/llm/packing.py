@@ -56,8 +56,14 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 data = text.as_buffer().to_pybytes()
-                # The tokenizer lower-cases all but its special tokens, which begin with <|.
-                chunks = (data if b"<|" in data else data.lower()).split()
+                # The tokenizer lower-cases all but its special tokens, which begin with <|, but composes letters with
+                # marks (U+0300 to U+036F, first byte CC or CD) before that: H and U+0331 stay two, h and U+0331 don't.
+                if b"<|" in data:
+                    chunks = data.split()
+                elif b"\xcc" in data or b"\xcd" in data:
+                    chunks = [c.lower() if c.isascii() else c for c in data.split()]
+                else:
+                    chunks = data.lower().split()
                 new = set(chunks).difference(known)
                 if new:
                     if len(known) + len(new) > remembered:  # two generations: what is still in use moves on

@@ -94,6 +94,17 @@ def test_packing(spark):
     assert packing.packed_documents(spark.createDataFrame([], brute_docs), path).count() == 0
 
 
+def test_marks_after_capitals(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer()
+    t = Tokenizer.from_file(path)
+    texts = ["W\u030a", "T\u0308a x", "Hello H\u0331ello", "J\u030c", "Y\u030a É", "T\u0344", "T\u0316\u0308", "E\u0301 ABC e\u0301", "Éa ÉA"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in packing.pieces(df, path, with_ids=True).collect()}
+    assert got == {i: t.encode(x, add_special_tokens=False).ids + [1] for i, x in enumerate(texts)}
+
+
 def check_sequences(rows, capacity=4096):
     by = defaultdict(list)
     for r in rows:
