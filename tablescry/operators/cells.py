@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import values as V
+from ..plans.storage import saved
 
 
 def cell_text(df: DataFrame, name: str) -> Column:
@@ -65,18 +66,21 @@ class Table:
         return self.rows.select("row_id", F.to_json(F.struct(*[self.cell(i).alias(h) for h, i in last.items()])).alias("json"))
 
 
-def numbered(df: DataFrame, *key: str, name: str = "row_id") -> DataFrame:
-    """Rows numbered from 0 in the order of the key, without sorting all in one task.
+def numbered(df: DataFrame, *key: str | Column, name: str = "row_id") -> DataFrame:
+    """Rows numbered from 0 in the order of the key, without sorting all in one task. A key is a column or a sort order of one.
 
-    The rows are range-partitioned and counted by partition; a partition's start is
-    the sum of the counts before it (one row a partition), and places inside follow the sort.
+    The rows are range-partitioned, sorted and written once, each with its partition and
+    its place there as columns. Counts and rows both come from that one table, so they
+    agree whatever the partitions are; a partition's start is the sum of the counts before
+    it (one row a partition). Rows that tie are numbered in any order, but only once.
     """
-    ordered = df.select("*", *[F.col(k).alias(f"_key{i}") for i, k in enumerate(key)]).repartitionByRange(*[F.col(f"_key{i}") for i in range(len(key))])
-    placed = ordered.withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*[f"_key{i}" for i in range(len(key))])
-    local = placed.withColumn("_place", F.row_number().over(inside))
-    ends = local.groupBy("_part").agg(F.max("_place").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(ends.select("_part", "_start")), "_part").withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_part", "_place", "_start", *[f"_key{i}" for i in range(len(key))])
+    at = F.monotonically_increasing_id()
+    parts = F.shiftrightunsigned(at, 33).cast("int").alias("part"), at.bitwiseAND((1 << 33) - 1).alias("place")
+    placed = saved(df.orderBy(*key).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *parts), "numbered")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c != name]
+    return placed.join(F.broadcast(starts), "part").select(*kept, (F.col("start") + F.col("place")).alias(name))
 
 
 def from_frame(df: DataFrame, *key: str) -> Table:

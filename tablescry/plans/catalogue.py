@@ -93,9 +93,7 @@ def natural_rank(spark: SparkSession, d: str) -> DataFrame:
 def blank_last_desc_rank(spark: SparkSession, d: str) -> DataFrame:
     text = F.coalesce(F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")), F.lit(""))
     rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), V.is_blank(text).alias("blank"), F.col("o_orderpriority").alias("k"))
-    # Descending text by way of its rank among the distinct values.
-    ranks = rows.select("k").distinct().withColumn("down", F.row_number().over(Window.orderBy(F.desc("k"))))
-    return cells.numbered(rows.join(F.broadcast(ranks), "k"), "blank", "down", "row_id", name="rank").select("row_id", (F.col("rank") + 1).alias("rank"))
+    return cells.numbered(rows, "blank", F.desc("k"), "row_id", name="rank").select("row_id", (F.col("rank") + 1).alias("rank"))
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 200")

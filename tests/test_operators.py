@@ -191,3 +191,23 @@ def test_contracts(spark):
     assert r.frame(spark).first()["code"] == "limit-entries"
     r.note("error", "password-required")
     assert r.status == "failed" and fits_clipboard("x") and not fits_clipboard("x" * (1 << 20) + "y")
+
+
+def test_numbering_under_adaptive_execution(spark):
+    """Wide rows over many partitions, which adaptive execution merges as it likes: each number once, in the order of the key."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+        df = spark.range(1_200_000).select(F.xxhash64("id").alias("k"), (F.col("id") % 7).alias("g"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        n = cells.numbered(df, "g", F.desc("k"))
+        r = n.agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("d"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi")).first()
+        assert tuple(r) == (1_200_000, 1_200_000, 0, 1_199_999)
+        assert n.select("g", "k", "wide").exceptAll(df.select("g", "k", "wide")).count() == 0
+        # neighbours by number are neighbours by key
+        pair = n.select("row_id", "g", "k").join(n.select((F.col("row_id") - 1).alias("row_id"), F.col("g").alias("g2"), F.col("k").alias("k2")), "row_id")
+        assert pair.where("g2 < g or (g2 = g and k2 > k)").count() == 0
+        t = cells.from_frame(spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet"), "l_orderkey", "l_linenumber", "l_partkey")
+        assert tuple(t.rows.agg(F.count("*"), F.count_distinct("row_id"), F.max("row_id")).first()) == (600_000, 600_000, 599_999)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
