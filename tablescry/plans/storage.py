@@ -8,14 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of local sessions that name none, by application; a running session's setting can't be changed.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a cluster has none to fall back on."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tablescry-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tablescry-")
+        base = _LOCAL[app]
     return base.rstrip("/")
 
 
