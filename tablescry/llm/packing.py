@@ -4,8 +4,8 @@ Documents become token ids and an end mark; only documents longer than a sequenc
 are cut. Pieces are dealt by hash into groups of bounded expected size, packed
 best fit first; then underfull bins exchange pieces - moved, one for one, or two for
 one - whenever that makes the fuller bin fuller, which raises the sum of squared
-fills, until bins empty. Sequences left with room from all groups meet again in
-further rounds, so the loss doesn't grow with the number of groups.
+fills, until bins empty and no exchange helps. Sequences left with room from all groups
+meet again in further rounds, so the loss doesn't grow with the number of groups.
 
 Defined results: a null or empty text is the end mark alone; repeated rows and
 repeated or null ids are documents of their own; an empty table gives an empty
@@ -17,6 +17,7 @@ reach across, and the ids of each distinct chunk are remembered.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +27,6 @@ from .common import bound_batches, save, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, room long"
-SEARCH_STEPS = 20_000
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, capacity: int = 4096, end_id: int = 1, remembered: int = 600_000, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,57 +119,107 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, steps: int = SEARCH_STEPS) -> list[list[int]]:
-    """Exchange pieces between underfull bins while the fuller of two gets fuller; bins that empty are gone."""
+class Pool:
+    """What bins offer, by length: lengths there are as bits of one number, and for each the bins and pieces. Offers of a bin that has changed are stale."""
+
+    def __init__(self):
+        self.bits, self.offers, self.version = 0, {}, {}
+
+    def offer(self, length: int, bin_: int, pieces: tuple[int, ...]) -> None:
+        self.offers.setdefault(length, []).append((bin_, self.version.get(bin_, 0), pieces))
+        self.bits |= 1 << length
+
+    def changed(self, bin_: int) -> None:
+        self.version[bin_] = self.version.get(bin_, 0) + 1
+
+    def longest(self, most: int, over: int) -> tuple[int, int, tuple[int, ...]] | None:
+        """(length, bin, pieces) of the longest offer up to most and over the other length."""
+        while (n := (self.bits & ((2 << most) - 1)).bit_length() - 1) > over:
+            stack = self.offers[n]
+            while stack:
+                bin_, version, pieces = stack[-1]
+                if version == self.version.get(bin_, 0):
+                    return n, bin_, pieces
+                stack.pop()
+            self.bits &= ~(1 << n)
+        return None
+
+
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Exchange pieces between underfull bins while that raises the sum of squared fills; bins that empty are gone.
+
+    Bins are taken from the fullest down, and each may draw on all after it: it takes the
+    piece that fills it best, gives one for it, or swaps two for one or one for two. What all bins offer is
+    indexed by length, so a pass takes time in proportion to the pieces; passes go on
+    until one changes nothing or no bin can be saved. Every exchange makes the fuller of
+    two bins fuller, which can't go on for ever.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    open_ = [n for n, f in enumerate(fill) if f < capacity]
-    alive = len(bins)
-    stuck: set[int] = set()
-    while alive > least and steps > 0:
-        source = min((n for n in open_ if bins[n] and n not in stuck), key=lambda n: (fill[n], n), default=None)
-        if source is None:
-            break
+    least, alive = -(-sum(fill) // capacity), sum(map(bool, bins))
+    moved = True
+    while moved and alive > least:
         moved = False
-        for target in sorted((n for n in open_ if bins[n] and n != source and capacity > fill[n] >= fill[source]), key=lambda n: (-fill[n], n)):
-            steps -= 1
-            if steps <= 0 or not bins[source]:
-                break
-            room = capacity - fill[target]
-            have = sorted(bins[source], key=lambda i: lengths[i])
-            best: tuple[int, list[int], list[int]] = (0, [], [])
-            for i in have:  # move
-                if best[0] < lengths[i] <= room:
-                    best = (lengths[i], [i], [])
-            for a in bins[target] if best[0] < room else ():
-                for i in have:  # one for one
-                    if best[0] < lengths[i] - lengths[a] <= room:
-                        best = (lengths[i] - lengths[a], [i], [a])
-                lo, hi = 0, len(have) - 1
-                while lo < hi:  # two for one
-                    gain = lengths[have[lo]] + lengths[have[hi]] - lengths[a]
-                    if best[0] < gain <= room:
-                        best = (gain, [have[lo], have[hi]], [a])
-                    lo, hi = (lo, hi - 1) if gain > room else (lo + 1, hi)
-            gain, come, go = best
-            if gain:
-                bins[target] = [i for i in bins[target] if i not in go] + come
-                bins[source] = [i for i in bins[source] if i not in come] + go
+        ones, twos = Pool(), Pool()
+
+        def add(n: int) -> None:
+            by_length: dict[int, list[int]] = {}
+            for i in bins[n]:
+                by_length.setdefault(lengths[i], []).append(i)
+            for x, same in by_length.items():
+                ones.offer(x, n, (same[0],))
+            every = sorted(by_length)
+            for at, x in enumerate(every):
+                for y in every[at:]:
+                    if x + y > capacity:
+                        break
+                    pair = (by_length[x][0], by_length[y][-1])
+                    if pair[0] != pair[1]:
+                        twos.offer(x + y, n, pair)
+
+        def exchange(target: int) -> tuple | None:
+            """(gain, source, pieces that come, pieces that go) of the exchange that fills the bin most."""
+            room, best = capacity - fill[target], None
+            single = {lengths[i]: i for i in bins[target]}
+            double = {lengths[i] + lengths[j]: (i, j) for i, j in combinations(single.values(), 2)}
+            for back in ((), *((i,) for i in single.values()), *double.values()):
+                given = sum(lengths[i] for i in back)
+                for pool in (ones, twos) if len(back) == 1 else (ones,):
+                    most = given + room
+                    while found := pool.longest(most, given + (best[0] if best else 0)):
+                        gain = found[0] - given
+                        if fill[found[1]] < fill[target] + gain:
+                            best = (gain, found[1], found[2], back)
+                            break
+                        most = found[0] - 1  # that bin is so full that nothing is won
+                    if best and best[0] == room:
+                        return best
+            return best
+
+        open_ = sorted((n for n, b in enumerate(bins) if b and fill[n] < capacity), key=lambda n: (-fill[n], n))
+        for n in open_:
+            add(n)
+        for target in open_:
+            for pool in (ones, twos):
+                pool.changed(target)
+            while bins[target] and fill[target] < capacity and (found := exchange(target)):
+                gain, source, come, go = found
+                bins[target] = [i for i in bins[target] if i not in go] + list(come)
+                bins[source] = [i for i in bins[source] if i not in come] + list(go)
                 fill[target] += gain
                 fill[source] -= gain
                 moved = True
-                stuck.clear()
-        if not bins[source]:
-            alive -= 1
-        elif not moved:
-            stuck.add(source)
+                for pool in (ones, twos):
+                    pool.changed(source)
+                add(source)
+                alive -= not bins[source]
     return [b for b in bins if b]
 
 
-def pack(rows: DataFrame, *, capacity: int = 4096, group_rows: int = 16_384, rounds: int = 4) -> DataFrame:
+def pack(rows: DataFrame, *, capacity: int = 4096, group_rows: int = 16_384) -> DataFrame:
     """The pieces with sequence_id, offset (gapless from 0) and room (what is left of their sequence).
 
-    A round's sequences with more than a 256th of room go to the next, until one group holds them.
+    A round's sequences with more than a 256th of room are dealt again in the next. That
+    ends when one group has held them all, or a round saved less than one sequence a group.
     """
     spare = capacity // 256
 
@@ -184,7 +234,7 @@ def pack(rows: DataFrame, *, capacity: int = 4096, group_rows: int = 16_384, rou
             for b, members in enumerate(bins):
                 at = 0
                 for i in sorted(members):
-                    sequence[i], offset[i] = (turn << 60) | (group << 30) | b, at
+                    sequence[i], offset[i] = (turn << 46) | (group << 20) | b, at
                     at += lengths[i]
                 for i in members:
                     room[i] = capacity - at
@@ -195,18 +245,27 @@ def pack(rows: DataFrame, *, capacity: int = 4096, group_rows: int = 16_384, rou
 
         return pack_group
 
-    done, left = None, rows
-    for turn in range(rounds):
-        groups = max(1, -(-left.count() // group_rows))
+    def open_sequences(packed: DataFrame) -> tuple[int, int]:
+        """Pieces and sequences that are to be dealt again; the piece at offset 0 stands for its sequence."""
+        r = packed.where(F.col("room") > spare).agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
+        return r[0], r[1]
+
+    done, left, count, sequences, turn = None, rows, rows.count(), None, 0
+    while True:
+        groups = max(1, -(-count // group_rows))
         dealt = left.withColumn("group", F.pmod(F.xxhash64(F.lit(turn), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
         packed = save(dealt.groupBy("group").applyInArrow(packer(turn), PACKED), "packed")
-        last = groups == 1 or turn == rounds - 1
+        used = packed.where(F.col("offset") == 0).count()
+        last = groups == 1 or (sequences is not None and sequences - used < groups)
         kept = packed if last else packed.where(F.col("room") <= spare)
         done = kept if done is None else done.unionByName(kept)
         if last:
-            break
+            return done
+        count, sequences = open_sequences(packed)
+        if not count:
+            return done
         left = packed.where(F.col("room") > spare).select("doc_id", "piece", "start", "length", "ids_crc32")
-    return done
+        turn += 1
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
