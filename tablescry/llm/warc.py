@@ -2,16 +2,17 @@
 
 A bundle is a run of independent Zstandard frames, each holding a group of WARC/1.1
 records, and a skippable frame at the end with a seek table (the public seekable
-format: compressed and plain size of every frame). The index maps each record to
-its bundle, its frame and its offset inside that frame, so one record costs one
-frame to read.
+format: compressed and plain size of every frame). The index maps each record identifier
+and page id to a bundle, a frame and an offset inside that frame, so one record costs one
+frame to read: lookup() fetches records by either.
 
 Records with equal payloads are stored once: the one with the smallest id is a
 response, the others are revisits that name it.
 
 Defined results: a null payload is empty; a null id is larger than all others and
-can't be referred to; rows that share the smallest id are all responses; a null or
-unprintable URL is written in escaped form; an empty table gives no bundle; other
+can't be referred to; rows that share the smallest id are all responses; a record is
+identified by its page id and payload digest, and where rows agree in both or have no id by a random
+suffix too; a null or unprintable URL is written in escaped form; an empty table gives no bundle; other
 columns of the input are ignored. A bundle's name holds a random part and counts
 only if a committed index row names it, so lost or repeated tasks leave no trace in
 the results.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, new_path, save, text_of
 
 SEEK_TABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-INDEX = "bundle string, frame int, at long, packed long, offset long, length long"
+INDEX = "page_id long, record_id string, bundle string, frame int, at long, packed long, offset long, length long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -53,18 +54,26 @@ def read_seek_table(tail: bytes) -> list[tuple[int, int]]:
     return [struct.unpack_from("<II", tail, start + i * each) for i in range(n)]
 
 
-def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def record_name(page_id: int | None, digest: str, alone: bool = True) -> str:
+    """The identifier of a record; that of the response it revisits has the same form."""
+    import uuid
+
+    name = f"urn:page:{'' if page_id is None else page_id}:{digest}"
+    return name if alone and page_id is not None else f"{name}:{uuid.uuid4().hex}"
+
+
+def warc_record(name: str, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     from urllib.parse import quote
 
     uri = quote(url or "urn:none", safe=":/?#[]@!$&'()*+,;=%~-._")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{name}>",
         f"WARC-Date: {date}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if refers_to is not None:
-        head[5:5] = [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {IDENTICAL}"]
+        head[5:5] = [f"WARC-Refers-To: <{record_name(refers_to, digest)}>", f"WARC-Profile: {IDENTICAL}"]
     return ("\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -77,7 +86,7 @@ def parse_record(raw: bytes) -> dict:
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
     told = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    page = lambda name: int(x) if (x := fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")) else None
+    page = lambda name: int(x) if (x := fields.get(name, "<urn:page:").removeprefix("<urn:page:").partition(":")[0]) else None
     out = {"page_id": page("WARC-Record-ID"), "record_type": fields["WARC-Type"], "refers_to": page("WARC-Refers-To"), "url": fields["WARC-Target-URI"], "payload": payload}
     if out["record_type"] == "revisit":
         size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
@@ -88,12 +97,18 @@ def parse_record(raw: bytes) -> dict:
 
 
 def with_revisits(pages: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """page_id, url, payload, digest (hex), refers_to. Only ids and digests move, but for pages that have a copy."""
+    """page_id, url, payload, digest (hex), refers_to, alone (no other row agrees in id and payload)."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(payload_col).alias("payload")).withColumn("digest", F.sha1(F.encode("payload", "UTF-8")))
-    ids = rows.select("page_id", "digest", F.octet_length("payload").alias("bytes")).where(F.col("bytes") >= min_bytes)
-    first = ids.groupBy("digest", "bytes").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
-    later = ids.join(first, ["digest", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to").distinct()
-    return rows.join(later, rows.page_id.eqNullSafe(later._id) & (rows.digest == later._digest), "left").select("page_id", "url", "payload", "digest", "refers_to")
+    key = ["digest", "bytes"]
+    pairs = save(rows.groupBy("page_id", "digest", F.octet_length("payload").alias("bytes")).agg(F.count("*").alias("n")), "warc-pairs")
+    large = pairs.where(F.col("bytes") >= min_bytes)
+    # Written first: a join of two exchanges, not one of an aggregate in place, can split a payload that very many pages have.
+    first = save(large.groupBy(key).agg(F.min("page_id").alias("refers_to"), F.count("*").alias("pages")).where("pages > 1 and refers_to is not null").select(*key, "refers_to"), "warc-first")
+    later = large.join(first, key).where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to", F.lit(0).alias("again"))
+    again = pairs.where("n > 1").select("page_id", "digest", F.lit(None).cast("long").alias("refers_to"), F.lit(1).alias("again"))
+    facts = later.unionByName(again).groupBy(F.col("page_id").alias("its_id"), F.col("digest").alias("its_digest")).agg(F.max("refers_to").alias("refers_to"), F.max("again").alias("again"))
+    joined = rows.join(save(facts, "warc-facts"), rows.page_id.eqNullSafe(F.col("its_id")) & (rows.digest == F.col("its_digest")), "left")
+    return joined.select("page_id", "url", "payload", "digest", "refers_to", (F.coalesce("again", F.lit(0)) == 0).alias("alone"))
 
 
 def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = 1 << 20, bundle_bytes: int = 64 << 20, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -111,15 +126,16 @@ def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = 1 << 20
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         packer = zstandard.ZstdCompressor(level=level)
-        names = ["bundle", "frame", "at", "packed", "offset", "length"]
-        kinds = [pa.string(), pa.int32(), *[pa.int64()] * 4]
+        names = [c.split()[0] for c in INDEX.split(", ")]
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 4]
         out = name = None
         frames: list[tuple[int, int]] = []
         at = plain = 0
         held: list[bytes] = []
+        told: list[tuple] = []
 
         def close_frame() -> pa.RecordBatch:
-            nonlocal at, plain, held
+            nonlocal at, plain, held, told
             data = packer.compress(b"".join(held))
             out.write(data)
             lengths = [len(x) for x in held]
@@ -127,9 +143,9 @@ def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = 1 << 20
             for n in lengths:
                 offsets.append(offsets[-1] + n)
             n = len(held)
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([[name] * n, [len(frames)] * n, [at] * n, [len(data)] * n, offsets[:-1], lengths], kinds)], names)
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*map(list, zip(*told)), [name] * n, [len(frames)] * n, [at] * n, [len(data)] * n, offsets[:-1], lengths], kinds)], names)
             frames.append((len(data), plain))
-            at, plain, held = at + len(data), 0, []
+            at, plain, held, told = at + len(data), 0, [], []
             return batch
 
         def close_bundle() -> None:
@@ -141,13 +157,15 @@ def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = 1 << 20
         for b in batches:
             cols = b.columns
             for i in range(b.num_rows):
-                page_id, url, payload, digest, refers_to = (c[i] for c in cols)
-                body = payload.as_buffer().to_pybytes()
-                record = warc_record(page_id.as_py(), url.as_py(), body, base64.b32encode(bytes.fromhex(digest.as_py())).decode(), refers_to.as_py(), date)
+                page_id, url, payload, digest, refers_to, alone = (c[i] for c in cols)
+                body, sha1 = payload.as_buffer().to_pybytes(), base64.b32encode(bytes.fromhex(digest.as_py())).decode()
+                record_id = record_name(page_id.as_py(), sha1, alone.as_py())
+                record = warc_record(record_id, url.as_py(), body, sha1, refers_to.as_py(), date)
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                 held.append(record)
+                told.append((page_id.as_py(), record_id))
                 plain += len(record)
                 if plain >= frame_bytes:
                     yield close_frame()
@@ -161,8 +179,11 @@ def write_bundles(records: DataFrame, folder: str, *, frame_bytes: int = 1 << 20
     return save(records.mapInArrow(write, INDEX), "warc-index")
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """The records that the index rows name, read by frame; rows of one frame that follow each other share its decoding."""
+def read_records(index: DataFrame, folder: str, frames_read=None) -> DataFrame:
+    """The records that the index rows name, read by frame; rows of one frame that follow each other share its decoding.
+
+    frames_read, an accumulator, counts the frames decoded.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -190,6 +211,8 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                             starts.append(starts[-1] + packed)
                     plain = unpacker.decompress(source.read_at(table[frame][0], starts[frame]), max_output_size=table[frame][1])
                     here = (bundle, frame)
+                    if frames_read is not None:
+                        frames_read.add(1)
                 r = parse_record(plain[offset : offset + length])
                 out.append(tuple(r[n] for n in names))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
@@ -199,6 +222,12 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     return index.select("bundle", "frame", "offset", "length").mapInArrow(read, RECORD)
 
 
+def lookup(index: DataFrame, folder: str, wanted: DataFrame, *, by: str = "page_id", frames_read=None) -> DataFrame:
+    """The records whose page_id (or record_id) is among those of wanted; each frame that holds one is decoded once, and no other."""
+    found = index.join(wanted.select(by).distinct(), by, "left_semi")
+    return read_records(found.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset"), folder, frames_read)
+
+
 def archived_pages(pages: DataFrame) -> DataFrame:
     """The digest for the query: write all pages, then read every record back through the index."""
     folder = new_path(pages.sparkSession, "warc")
