@@ -6,10 +6,15 @@ subtree is left out when factor times its triangle-inequality lower bound exceed
 the distance of the k-th neighbour so far: factor 1 is exact search, larger factors
 visit less. Every vector is in a tree; copies of a vector in a shard share a place.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components,
-or whose length isn't the most common one (ties: the smaller), take no part, as rows
-with a null id; rows that share the query's id aren't its neighbours; an empty table
-gives an empty result; ties go to the smaller id; other columns are ignored.
+build() makes the trees once and writes them; search() sends each tree to one task, where
+all blocks of queries stream past it. Vectors are scaled by a power of two inside the trees,
+so that squares of very large or small components stay finite.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components
+take no part, as rows with a null id; vectors of one length are searched among those of the same
+length, since others have no product with them; rows that share the query's id aren't its
+neighbours; an empty table gives an empty result; ties go to the smaller id; products beyond
+the range of doubles are infinite and tie; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save
+from .common import bound_batches, save
 
 HIT = "query_id long, vec_id long, score double"
 
@@ -34,48 +39,64 @@ def usable(vector: Column) -> Column:
 
 
 class Tree:
-    """A vantage-point tree over distinct vectors: nodes (point, radius, inner child, outer child), leaves (first, end) of `order`."""
+    """A vantage-point tree over distinct vectors of norm top at most.
 
-    def __init__(self, vectors: np.ndarray, top: float, leaf: int = 96, seed: int = 5):
-        self.x = vectors
-        lift = np.sqrt(np.maximum(top * top - np.einsum("ij,ij->i", vectors, vectors), 0.0))
-        points = np.concatenate([vectors, lift[:, None]], axis=1)
+    Node i: vantage point points[i] and radius[i] with children left[i] (inside) and
+    right[i], or, where radius is negative, a leaf: order[left[i]:right[i]].
+    """
+
+    def __init__(self, vectors: np.ndarray, top: float, *arrays: np.ndarray):
+        self.x, self.top = vectors, top
+        self.points, self.radius, self.left, self.right, self.order = arrays or self._built()
+
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.points, self.radius, self.left, self.right, self.order
+
+    def _built(self, leaf: int = 96, seed: int = 5, deepest: int = 200) -> tuple[np.ndarray, ...]:
+        lift = np.sqrt(np.maximum(self.top**2 - np.einsum("ij,ij->i", self.x, self.x), 0.0))
+        points = np.concatenate([self.x, lift[:, None]], axis=1)
         rng = np.random.default_rng(seed)
-        self.nodes: list[tuple] = []
+        nodes: list[list] = []
         order: list[np.ndarray] = []
         placed = 0
 
-        def build(rows: np.ndarray) -> int:
+        def build(rows: np.ndarray, depth: int) -> int:
             nonlocal placed
-            me = len(self.nodes)
-            self.nodes.append(())
-            if len(rows) > leaf:
-                p = points[rows[rng.integers(len(rows))]]
-                d = np.sqrt(np.einsum("ij,ij->i", points[rows] - p, points[rows] - p))
+            me = len(nodes)
+            nodes.append([])
+            if len(rows) > leaf and depth < deepest:
+                vantage = int(rows[rng.integers(len(rows))])
+                apart = points[rows] - points[vantage]
+                d = np.sqrt(np.einsum("ij,ij->i", apart, apart))
                 radius = float(np.median(d))
                 inner = d <= radius
-                if not inner.all():
-                    self.nodes[me] = (p, radius, build(rows[inner]), build(rows[~inner]))
+                if inner.any() and not inner.all():
+                    nodes[me] = [vantage, radius, build(rows[inner], depth + 1), build(rows[~inner], depth + 1)]
                     return me
-            self.nodes[me] = (None, placed, placed + len(rows))
+            nodes[me] = [-1, -1.0, placed, placed + len(rows)]
             order.append(rows)
             placed += len(rows)
             return me
 
-        build(np.arange(len(vectors)))
-        self.order = np.concatenate(order)
+        build(np.arange(len(self.x)), 0)
+        vantage, radius, left, right = (np.array(c) for c in zip(*nodes))
+        return np.where(vantage[:, None] >= 0, points[vantage], 0.0), radius, left, right, np.concatenate(order)
 
-    def search(self, queries: np.ndarray, top: float, k: int, factor: float) -> np.ndarray:
+    def search(self, queries: np.ndarray, k: int, factor: float) -> np.ndarray:
         """For each query the rows of k nearest vectors found (-1: none), unordered."""
         m = len(queries)
         q = np.concatenate([queries, np.zeros((m, 1))], axis=1)
-        norms = np.einsum("ij,ij->i", queries, queries) + top * top
+        norms = np.einsum("ij,ij->i", queries, queries) + self.top**2
         rows = np.full((m, k), -1)
         score = np.full((m, k), -np.inf)
         packed = self.x[self.order]
+        home = np.zeros(m, dtype=np.int64)
+
+        def over(at: int, who: np.ndarray) -> np.ndarray:
+            return np.linalg.norm(q[who] - self.points[at], axis=1) - self.radius[at]
 
-        def visit(node: tuple, who: np.ndarray) -> None:
-            first, end = node[1:]
+        def visit(at: int, who: np.ndarray) -> None:
+            first, end = self.left[at], self.right[at]
             s = queries[who] @ packed[first:end].T
             better = s.max(axis=1) > score[who].min(axis=1)
             who, s = who[better], s[better]
@@ -85,16 +106,13 @@ class Tree:
                 best = np.argpartition(-both, k - 1, axis=1)[:, :k]
                 score[who], rows[who] = np.take_along_axis(both, best, 1), np.take_along_axis(ids, best, 1)
 
-        home = np.zeros(m, dtype=np.int64)
-
         def descend(at: int, who: np.ndarray) -> None:
-            node = self.nodes[at]
-            if node[0] is None:
+            if self.radius[at] < 0:
                 home[who] = at
-                visit(node, who)
+                visit(at, who)
                 return
-            inside = np.linalg.norm(q[who] - node[0], axis=1) <= node[1]
-            for child, part in ((node[2], who[inside]), (node[3], who[~inside])):
+            inside = over(at, who) <= 0
+            for child, part in ((self.left[at], who[inside]), (self.right[at], who[~inside])):
                 if len(part):
                     descend(child, part)
 
@@ -104,14 +122,14 @@ class Tree:
             who, bound = who[near], bound[near]
             if not len(who):
                 return
-            node = self.nodes[at]
-            if node[0] is None:
-                visit(node, who[home[who] != at])
+            if self.radius[at] < 0:
+                if len(rest := who[home[who] != at]):
+                    visit(at, rest)
                 return
-            gap = np.linalg.norm(q[who] - node[0], axis=1) - node[1]
-            sides = ((node[2], gap), (node[3], -gap))
-            for child, over in sides if (gap <= 0).mean() >= 0.5 else sides[::-1]:
-                sweep(child, who, np.maximum(bound, over))
+            gap = over(at, who)
+            sides = ((self.left[at], gap), (self.right[at], -gap))
+            for child, far in sides if (gap <= 0).mean() >= 0.5 else sides[::-1]:
+                sweep(child, who, np.maximum(bound, far))
 
         descend(0, np.arange(m))
         sweep(0, np.arange(m), np.zeros(m))
@@ -137,56 +155,107 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, factor: float = 1.15, shard_rows: int = 16_384, block_rows: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query, which are rows like those of vectors."""
+def picked(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    wide = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), wide.alias("w")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
+    return rows.select("vec_id", F.size("w").alias("dim"), F.col("w").alias("v"))
+
+
+def grouped(rows: DataFrame, groups: dict[int, int]) -> DataFrame:
+    """With a column `part`: vectors of one length are dealt by id over that many groups of their own."""
+    rank = F.create_map(*[F.lit(x) for i, d in enumerate(sorted(groups)) for x in (d, sum(groups[e] for e in sorted(groups)[:i]))])
+    count = F.create_map(*[F.lit(x) for x in sum(sorted(groups.items()), ())])
+    return rows.withColumn("part", (F.try_element_at(rank, "dim") + F.pmod(F.xxhash64("vec_id"), F.try_element_at(count, "dim").cast("long"))).cast("int"))
 
-    def pick(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
 
-    base, asked = pick(vectors), pick(queries)
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    facts = base.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(squares).alias("top")).orderBy(F.desc("n"), "dim").take(1)
-    dim, n, top = (facts[0]["dim"], facts[0]["n"], math.sqrt(facts[0]["top"])) if facts else (0, 0, 0.0)
-    top *= 1 + 1e-9
-    base, asked = base.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked.count() // block_rows))
-    wide = F.transform("v", lambda x: x.cast("double"))
+INDEX = "part int, dim int, data binary"
+
+
+def build(vectors: DataFrame, *, shard_rows: int = 16_384, most_lengths: int = 1_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """part, dim, data: a written table with a tree a row, for search(). More than most_lengths lengths of vectors raise an error."""
+    base = picked(vectors, id_col, vector_col)
+    largest = F.array_max(F.transform("v", F.abs))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))
+    facts = base.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.log2(largest) + F.log2(square) / 2).alias("top")).limit(most_lengths + 1).collect()
+    if len(facts) > most_lengths:
+        raise ValueError(f"vectors of more than {most_lengths} lengths")
+    if not facts:
+        return vectors.sparkSession.createDataFrame([], INDEX)
+    scale = {r["dim"]: math.floor(r["top"]) + 1 for r in facts}
+    tops = {r["dim"]: 2.0 ** (r["top"] - scale[r["dim"]]) * (1 + 1e-9) for r in facts}
+
+    def plant(table: pa.Table) -> pa.Table:
+        part, dim = table.column("part")[0].as_py(), table.column("dim")[0].as_py()
+        distinct, place = np.unique(matrix(table.column("v")), axis=0, return_inverse=True)
+        place, ids = place.reshape(-1), table.column("vec_id").to_numpy()
+        by = np.lexsort((ids, place))
+        first = np.searchsorted(place[by], np.arange(len(distinct) + 1))
+        tree = Tree(np.ldexp(distinct, -scale[dim]), tops[dim])
+        data = blob(ids[by], first, distinct, np.array([tops[dim], scale[dim]]), *tree.arrays())
+        return pa.table({"part": pa.array([part], pa.int32()), "dim": pa.array([dim], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    return save(grouped(base, {r["dim"]: -(-r["n"] // shard_rows) for r in facts}).groupBy("part").applyInArrow(plant, INDEX), "vp-trees")
+
+
+def search(index: DataFrame, queries: DataFrame, *, k: int = 20, factor: float = 1.15, block_rows: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query in the trees of build()."""
+    spark = index.sparkSession
+    bound_batches(spark)
+    asked = picked(queries, id_col, vector_col)
+    spans = {r["dim"]: (r["first"], r["last"]) for r in index.groupBy("dim").agg(F.min("part").alias("first"), F.max("part").alias("last")).collect()}
+    asked = asked.where(F.col("dim").isin(list(spans)))
+    counts = {r["dim"]: -(-r["count"] // block_rows) for r in asked.groupBy("dim").count().collect()}
 
     def pack(table: pa.Table) -> pa.Table:
-        group, ids = table.column("part")[0].as_py(), table.column("vec_id").to_numpy()
-        return pa.table({"part": pa.array([group], pa.int32()), "data": pa.array([blob(ids, matrix(table.column("v")))], pa.binary())})
-
-    def packed(df: DataFrame, parts: int) -> DataFrame:
-        return df.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), "vec_id", wide.alias("v")).groupBy("part").applyInArrow(pack, "part int, data binary")
-
-    def find(table: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for data, ask in zip(table.column("data"), table.column("ask")):
-            ids, x = unblob(data.as_py())
-            query_ids, q = unblob(ask.as_py())
-            distinct, place = np.unique(x, axis=0, return_inverse=True)
-            by = np.lexsort((ids, place.reshape(-1)))
-            sorted_ids, first = ids[by], np.searchsorted(place.reshape(-1)[by], np.arange(len(distinct) + 1))
-            # a few more than k: the query itself is among them, and near ties are told apart below
-            found = Tree(distinct, top).search(q, top, k + 6, factor)
-            for i, rows in enumerate(found):
-                rows = rows[rows >= 0]
-                exact = (distinct[rows] * q[i]).sum(axis=1)
-                near = [sorted_ids[first[r] : first[r + 1]] for r in rows]
-                near = [v[v != query_ids[i]][:k] for v in near]
-                v, s = np.concatenate(near), np.repeat(exact, [len(v) for v in near])
-                keep = np.lexsort((v, -s))[:k]
-                out.append((np.full(len(keep), query_ids[i]), v[keep], s[keep]))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    index = save(packed(base, shards), "vp-shards")
-    asks = packed(asked, blocks).select(F.col("part").alias("block"), F.col("data").alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("part"))
-    hits = index.join(asks, "part").groupBy("part", "block").applyInArrow(find, HIT)
+        part, dim = table.column("part")[0].as_py(), table.column("dim")[0].as_py()
+        return pa.table({"block": pa.array([part], pa.int32()), "dim": pa.array([dim], pa.int32()), "ask": pa.array([blob(table.column("vec_id").to_numpy(), matrix(table.column("v")))], pa.binary())})
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by part: a tree, then all blocks of queries for it, one at a time."""
+        here = None
+        for b in batches:
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for part, data, ask in zip(b.column("part").to_pylist(), b.column("data"), b.column("ask")):
+                if data.is_valid:
+                    ids, first, distinct, (top, scale), *arrays = unblob(data.as_py())
+                    tree, here = Tree(np.ldexp(distinct, -int(scale)), top, *arrays), part
+                    continue
+                if part != here:  # a group that got no vectors
+                    continue
+                query_ids, q = unblob(ask.as_py())
+                # a few more than k: the query itself is among them, and near ties are told apart below
+                found = tree.search(np.ldexp(q, -int(scale)), k + 6, factor)
+                for i, rows in enumerate(found):
+                    rows = rows[rows >= 0]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        exact = (distinct[rows] * q[i]).sum(axis=1)
+                    near = [ids[first[r] : first[r + 1]] for r in rows]
+                    near = [v[v != query_ids[i]][:k] for v in near]
+                    v, s = np.concatenate(near), np.repeat(exact, [len(v) for v in near])
+                    keep = np.lexsort((v, -s))[:k]
+                    out.append((np.full(len(keep), query_ids[i]), v[keep], s[keep]))
+            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    if counts:
+        blocks = save(grouped(asked, counts).groupBy("part").applyInArrow(pack, "block int, dim int, ask binary"), "vp-queries")
+        first, last = (F.try_element_at(F.create_map(*[F.lit(x) for d, span in spans.items() for x in (d, span[i])]), "dim") for i in (0, 1))
+        trees = index.select("part", F.lit(-1).alias("block"), "data", F.lit(None).cast("binary").alias("ask"))
+        asks = blocks.select(F.explode(F.sequence(first, last)).alias("part"), "block", F.lit(None).cast("binary").alias("data"), "ask")
+        ordered = trees.unionByName(asks).repartition(max(1, index.count()), "part").sortWithinPartitions("part", "block")
+        hits = ordered.select("part", "data", "ask").mapInArrow(find, HIT)
+    else:
+        hits = spark.createDataFrame([], HIT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, factor: float = 1.15, shard_rows: int = 16_384, block_rows: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query, which are rows like those of vectors."""
+    columns = {"id_col": id_col, "vector_col": vector_col}
+    return search(build(vectors, shard_rows=shard_rows, **columns), queries, k=k, factor=factor, block_rows=block_rows, **columns)
+
+
 def neighbours(embeddings: DataFrame) -> DataFrame:
     """The digest for the query: every vector whose id is divisible by 20 against all."""
     return nearest(embeddings, embeddings.where(F.col("vec_id") % 20 == 0))
