@@ -303,11 +303,16 @@ def perplexities(docs: DataFrame, labels: DataFrame, *, shard_bytes: int = 4 <<
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, high: float = 0.99, noise: float = 2.0, repeats: float = 0.3, enough: int = 10, **columns) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, threshold, repeated, repeated_threshold, kept."""
+def classify(docs: DataFrame, labels: DataFrame, *, high: float = 0.99, noise: float = 2.0, repeats: float = 0.3, enough: int = 10, accuracy: int = 100_000, **columns) -> DataFrame:
+    """doc_id, lang, n_bytes, perplexity, threshold, repeated, repeated_threshold, kept.
+
+    The quantiles come from summaries of bounded size, whose rank is off by one in
+    `accuracy` at most: up to that many held-out documents a language they are exact.
+    """
     scores = perplexities(docs, labels, **columns)
     held = scores.where("held and n_bytes > 0")
-    limits = [F.percentile("perplexity", high).alias("_limit"), F.greatest(F.percentile("repeated", high), F.lit(repeats)).alias("_again")]
+    quantile = lambda c: F.percentile_approx(c, high, accuracy)
+    limits = [quantile("perplexity").alias("_limit"), F.greatest(quantile("repeated"), F.lit(repeats)).alias("_again")]
     all_ = held.agg(F.count("*").alias("_n"), *limits).first()
     each = held.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_n"), *limits).where(F.col("_n") >= enough)
     rows = scores.join(each, F.col("lang").eqNullSafe(F.col("_lang")), "left")
