@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import new_path
+
 #: What a word is, wherever the operators count or compare words: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: ASCII white space, as characters.
@@ -16,22 +17,28 @@ SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tablescry-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+#: Bytes of input that one task of a whole-table stage reads at most.
+TASK_BYTES = 32 << 20
 
 
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/tablescry/{label}-{uuid.uuid4().hex[:12]}"
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes of the files that the plan scans, from the sizes that the planner knows."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """No more output files than keep all cores busy a few times over; partitions beyond that are worked off one after another."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    """No more output files than keep all cores busy a few times over, or than tasks of bounded input need; more partitions are worked off one after another."""
+    tasks = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-scanned_bytes(df) // TASK_BYTES))
+    return df.coalesce(min(tasks, 1 << 30))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have: this one, with underscores added while it is taken."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def save(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
@@ -60,12 +67,6 @@ def delete(spark: SparkSession, *tables: DataFrame) -> None:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove all intermediate tables of this library from the shared folder; results must have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tablescry")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Let Arrow batches hold no more bytes than this: a worker's memory follows the batch, and texts may be long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, hash128, let, save, text_of
+from .common import SPACES, ascii_lower, fresh, hash128, let, save, text_of
 
 
 def repeated_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,22 +38,24 @@ def repeated_lines(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, i
 
 
 def keep_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all columns kept, with columns _lines, _dropped and _kept_text added."""
-    drops = repeated_lines(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), F.col("drop").alias("_drop"))
-    rows = docs.withColumn("_text", text_of(text_col)).withColumn("_here", F.xxhash64("_text"))
-    joined = rows.join(drops, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_here") == F.col("_print")), "left")
-    rest = let(F.split("_text", "\n", -1), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_drop")), lambda i: F.get(x, i)))
-    return joined.withColumns({
-        "_lines": F.size(F.split("_text", "\n", -1)).cast("long"),
-        "_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-        "_kept_text": F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(rest, "\n")),
-    }).drop("_id", "_print", "_drop", "_text", "_here")
+    """The documents, all columns kept, with n_lines, n_dropped and kept_text added; where a name is taken, the one that fresh() gives."""
+    here, text, other_id, other_print, gone, *out = (fresh(docs, c) for c in ("here", "whole_text", "other_id", "other_print", "gone", "n_lines", "n_dropped", "kept_text"))
+    drops = repeated_lines(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(other_id), F.col("print").alias(other_print), F.col("drop").alias(gone))
+    rows = docs.withColumn(text, text_of(text_col)).withColumn(here, F.xxhash64(text))
+    joined = rows.join(drops, F.col(id_col).eqNullSafe(F.col(other_id)) & (F.col(here) == F.col(other_print)), "left")
+    rest = let(F.split(text, "\n", -1), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i)))
+    added = (
+        F.size(F.split(text, "\n", -1)).cast("long"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"),
+        F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(rest, "\n")),
+    )
+    return joined.withColumns(dict(zip(out, added))).drop(other_id, other_print, gone, text, here)
 
 
 def deduplicated_lines(docs: DataFrame) -> DataFrame:
     """The digest for the query."""
     kept = keep_lines(docs.select("doc_id", "text"))
-    return kept.select("doc_id", F.col("_lines").alias("n_lines"), F.greatest("_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.sha2("_kept_text", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 LINES_SQL = """

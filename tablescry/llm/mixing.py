@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, partitions, save, text_of
+from .common import WORD, fresh, partitions, save, text_of
 
 Schedule = Sequence[tuple[float, float]]
 SEGMENT = "array<struct<t0:double,dt:double,w0:double,w1:double,done:double>>"
@@ -59,25 +59,30 @@ def capped_targets(sizes: dict, weights: dict, total: float, cap: float) -> dict
     return targets
 
 
-def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule], *, share: float = 1.0, cap: float = 3.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule], *, share: float = 1.0, cap: float = 3.0, seed: int = 17, most_sources: int = 100_000, identity: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken, takes, turn.
 
     schedule_of(n, source) gives the schedule of the n-th source by code point, null
     last. takes lists each pass that uses the document: pass number, words used and
-    training position; turn is the hash of id and text that orders the source. Only the table of sources, one row each, visits the driver:
-    the mixing recipe is the user's and names every source.
+    training position; turn, the hash of id and text or of the given identity, orders the
+    source. Only the table of sources, one row each, visits the driver: the mixing recipe
+    is the user's and names every source. More than most_sources raise an error, since a recipe
+    for them (one source a host, say) has to group them first.
     """
     spark = docs.sparkSession
+    identity = F.struct(F.col(id_col).cast("string"), text_of(text_col)) if identity is None else identity
     rows = save(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text_of(text_col).alias("text")).select(
-            "doc_id",
-            "source",
-            F.regexp_count("text", F.lit(WORD)).cast("long").alias("size"),
-            turn_of(seed).alias("turn"),
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.col(source_col).alias("source"),
+            F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
+            F.xxhash64(F.lit(seed), identity).alias("turn"),
         ),
         "mix-sizes",
     )
-    found = {r["source"]: r["size"] for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    found = {r["source"]: r["size"] for r in rows.groupBy("source").agg(F.sum("size").alias("size")).limit(most_sources + 1).collect()}
+    if len(found) > most_sources:
+        raise ValueError(f"more than {most_sources} sources: group them, or raise most_sources")
     names = sorted((s for s in found if s is not None)) + [None] * (None in found)
     pieces = {s: segments(schedule_of(n, s)) for n, s in enumerate(names)}
     targets = capped_targets(found, {s: pieces[s][1] for s in names}, share * sum(found.values()), cap)
@@ -130,8 +135,16 @@ def plan_mix(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule]
     )
 
 
-def turn_of(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text"))
+def identity_of(df: DataFrame) -> Column:
+    """The whole row as a value to hash: nulls count, and maps, which have no hash, as their JSON."""
+    plain = lambda c: F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in df.schema[c].dataType.simpleString() else F.col(f"`{c}`")
+    return F.struct(*[x for c in df.columns for x in (F.col(f"`{c}`").isNull(), plain(c))])
+
+
+def first_words(text: Column, words: Column) -> Column:
+    """The text up to the end of that many words, white space as it stands."""
+    length = lambda parts: F.aggregate(F.slice(parts, F.lit(1), words.cast("int")), F.lit(0), lambda a, x: a + F.char_length(x))
+    return F.substring(text, F.lit(1), length(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))) + length(F.split(text, WORD, -1)))
 
 
 def occurrences(plan: DataFrame) -> DataFrame:
@@ -142,18 +155,23 @@ def occurrences(plan: DataFrame) -> DataFrame:
 def mixed_texts(docs: DataFrame, schedule_of: Callable[[int, str | None], Schedule], *, seed: int = 17, **options) -> DataFrame:
     """The documents themselves, once for each use, in training order; a use that ends inside a document keeps its first words.
 
-    Takes columns doc_id, text, source and others, and returns the same ones; rows
-    that agree in id and text are taken as one document that occurs as often.
+    Takes columns doc_id, text, source and any others, and returns the same ones. Rows are
+    told apart by all their columns; rows that agree in every one are one document that
+    occurs as often. n_chars, if there, follows the text.
     """
-    plan = plan_mix(docs, schedule_of, seed=seed, **options)
-    uses = plan.where(F.size("takes") > 0).select(F.col("doc_id").alias("_id"), F.col("turn").alias("_turn"), "size", F.inline("takes"))
-    uses = uses.select("_id", "_turn", F.struct("pass", "words", "position", "size").alias("_use"))
-    texts = docs.withColumn("_turn", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), text_of("text"))).dropDuplicates(["doc_id", "_turn"])
-    used = texts.join(uses.withColumnRenamed("_turn", "_turn2"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_turn") == F.col("_turn2")))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_use.words").cast("int")), " ")
-    cut = F.when(F.col("_use.words") < F.col("_use.size"), first).otherwise(F.col("text"))
-    columns = {"text": cut} | ({"n_chars": F.char_length(cut).cast("long")} if "n_chars" in docs.columns else {})
-    return used.withColumns(columns).orderBy("_use.position", "doc_id", "_use.pass").select(*docs.columns)
+    identity = identity_of(docs)
+    plan = plan_mix(docs, schedule_of, seed=seed, identity=identity, **options)
+    name, turn, rank, taken = (fresh(docs, c) for c in ("use_name", "use_turn", "use_rank", "use_taken"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(name)
+    uses = plan.where(F.size("takes") > 0).select(named("doc_id"), F.col("turn").alias(turn), "size", F.inline("takes"))
+    uses = uses.select(name, turn, F.struct("pass", "words", "position", "size").alias(taken))
+    rows = docs.select("*", named("doc_id"), F.xxhash64(F.lit(seed), identity).alias(turn))
+    # Equal rows: one stands for all, since each has uses of its own in the plan. The join finds the rows where this left them.
+    one = rows.withColumn(rank, F.row_number().over(Window.partitionBy(name, turn).orderBy(turn))).where(F.col(rank) == 1)
+    used = one.join(uses, [name, turn]).orderBy(f"{taken}.position", name, turn, f"{taken}.pass")
+    cut = F.when(F.col(taken)["words"] < F.col(taken)["size"], first_words(F.col("text"), F.col(taken)["words"])).otherwise(F.col("text"))
+    changed = {"text": cut} | ({"n_chars": F.char_length(cut).cast("long")} if "n_chars" in docs.columns else {})
+    return used.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def curriculum(n: int, source: str | None) -> Schedule:
