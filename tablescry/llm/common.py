@@ -22,9 +22,10 @@ TASK_BYTES = 32 << 20
 
 
 def scanned_bytes(df: DataFrame) -> int:
-    """Bytes of the files that the plan scans, from the sizes that the planner knows."""
+    """Bytes of the files that the plan scans, from the sizes that the planner knows; what isn't a file has none."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
 
 
 def few_files(df: DataFrame) -> DataFrame:

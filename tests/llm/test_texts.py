@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,21 +139,50 @@ def test_substrings(spark, rows):
 def test_bwt_merge():
     rng = random.Random(3)
     strings = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(3, 30))).encode() for _ in range(60)})
-    whole = [bwt.Collection(strings[i::3]) for i in range(3)]
-    part, group, common = bwt.merge(whole, 8)
-    rotations, seen = [], [0, 0, 0]
-    for p in part:
-        c = whole[p]
-        at = c.order[seen[p]]
-        seen[p] += 1
-        s = c.symbols[c.first[c.owner[at]] : c.first[c.owner[at]] + c.sizes[c.owner[at]]].tobytes()
-        o = c.offset[at]
-        rotations.append(((s[o:] + s[:o]) * 3)[:8])
-    assert rotations == sorted(rotations)
-    assert [a == b for a, b in zip(rotations, rotations[1:])] == [a == b for a, b in zip(group, group[1:])]
-    for a, b, c in zip(rotations, rotations[1:], common[1:]):
-        lcp = next((i for i in range(8) if a[i] != b[i]), 8)
-        assert c == lcp // 2 * 2
+    parts = [strings[i::3] for i in range(3)]
+    made = [bwt.transforms(p, np.zeros(len(p), np.uint8)) for p in parts]
+    for p, (_, _, members) in zip(parts, made):
+        assert [p[i] for i in members] == sorted(p)
+    part = np.repeat(np.arange(3, dtype=np.uint8), [len(t) for t, _, _ in made])
+    transform = np.concatenate([t for t, _, _ in made])
+    named = [p[i] for p, (_, _, members) in zip(parts, made) for i in members]
+    sizes = np.array([len(s) + 1 for s in named])
+    back, string, offset = bwt.walked(transform, part, sizes, np.repeat(np.arange(3, dtype=np.uint8), [len(p) for p in parts]))
+    assert sorted(zip(string.tolist(), offset.tolist())) == [(i, j) for i, n in enumerate(sizes) for j in range(n)]
+    rotation = lambda r, n: ((named[string[r]] + b"\0")[offset[r] :] + (named[string[r]] + b"\0") * 20)[:n]
+    for r in range(len(back)):
+        assert rotation(back[r], 9)[1:] == rotation(r, 8) and rotation(back[r], 1)[0] == transform[r]
+    for depth in (8, 10):
+        place, common = bwt.merge(back, transform, depth)
+        merged = [rotation(r, depth) for r in np.argsort(place)]
+        assert merged == sorted(merged)
+        for a, b, c in zip(merged, merged[1:], common[1:]):
+            lcp = next((i for i in range(depth) if a[i] != b[i]), depth)
+            assert c == (lcp if lcp == depth else lcp // 4 * 4)
+
+
+def test_windows_come_from_the_merge(spark):
+    """Pieces that differ between shards go through the merged transforms, equal ones by their ids, very many by their windows."""
+    texts = hard_texts()
+    df, want = spark.createDataFrame(texts, DOCS).repartition(3), brute.substrings(texts)
+    for large, ways in ((10_000, ("by_piece", "by_merge")), (2, ("by_piece", "by_merge", "by_window")), (0, ("by_piece", "by_window"))):
+        facts = {}
+        assert got(suffix_dedup.without_repeats(df, shard_bytes=3000, large=large, facts=facts)) == want
+        assert {k for k, n in facts.items() if n} == set(ways), facts
+    # no piece is like another one here: all that is found comes out of the merge
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = word(54)
+    texts = [(i, word(60) + shared + word(60)) for i in range(40)]
+    facts = {}
+    assert got(suffix_dedup.without_repeats(spark.createDataFrame(texts, DOCS).repartition(3), shard_bytes=900, facts=facts)) == brute.substrings(texts)
+    assert facts["by_merge"] > 0 and facts["by_window"] == 0
+
+
+def test_substrings_leave_nothing_behind(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert suffix_dedup.without_repeats(spark.createDataFrame(hard_texts(), DOCS)).count() == len(hard_texts())
+    assert {t.name for t in spark.catalog.listTables()} == before
 
 
 def test_near_duplicates(spark, rows):
