@@ -2,15 +2,20 @@
 
 Documents with equal shingle sets form a class and the smallest id stands for it. Each
 class takes a place in several sorted orders, one for each tree of the forest, by the
-values of its own part of the signature. Candidates are neighbours with the longest
-common prefixes, which must reach the least depth; a dense region thus compares at
-greater depth. Confirmed links form components. Regions that hold more than a few
-classes, or that a partition boundary cuts, are then finished exactly if they span
-components: their members meet in blocks, each pair of blocks is compared in one
+values of its own part of the signature. Neighbours there have the longest common prefixes.
+Each class goes down its tree, from the least depth, until no more than a few share its
+prefix: all of those are its candidates, so crowded regions compare at greater depth than
+sparse ones; where even whole signatures are shared by many, the nearest few are. Confirmed links
+form components. Depth alone could lose links: regions of least depth that are crowded, or that a
+partition boundary cuts, are then finished exactly if they still span components
+(unless exact=False): their members meet in blocks, each pair of blocks is compared in one
 task, and only a spanning forest of its links comes out.
 
 A pair at Jaccard likeness J shares a region with probability 1 - (1 - J^3)^24; at
-0.75 that is 0.999998. No cap on partners or candidates loses a link.
+0.75 that is 0.999998. No cap on partners or candidates loses a link. Without the exact
+finish, what moves grows in proportion to the documents whatever the regions; a pair in a region that is
+crowded down to depth d is found directly with probability 1 - (1 - J^d)^24, 0.991 at
+0.75 and depth 6, and through common partners beyond that.
 
 Defined results: words are runs of anything but ASCII white space, A-Z lower-cased;
 fewer than five words are one shingle; a null or wordless text has no shingle and no
@@ -34,7 +39,9 @@ TREES, DEPTH, LEAST_DEPTH = 24, 6, 3
 WORDS = 5
 #: Bits in which the 128-bit sketches of a linked pair may differ: 16 expected at 0.75, and 5.5 standard deviations.
 SKETCH_BITS = 37
-#: Neighbours looked back at in each order.
+#: Classes that may share a prefix before a deeper one is asked for; all of them are compared.
+GROUP = 16
+#: Neighbours looked back at where more than that share a whole signature.
 WINDOW = 3
 ORDER = "tree int, p1 long, p2 int, r1 int, r2 long, rep long, n long, s1 long, s2 long"
 
@@ -110,9 +117,22 @@ def orders(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "parts", "n", "s1", "s2").mapInArrow(work, ORDER)
 
 
+def depths(tree: np.ndarray, p1: np.ndarray, p2: np.ndarray, r1: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: (common prefix of each row with the one before, runs of equal prefix by depth from the least one on)."""
+    same = np.zeros(len(tree), np.int64)
+    steps = (tree, p1), (p2,), (r1,), (r2 >> 32,), (r2,)
+    alike = np.ones(max(len(tree) - 1, 0), bool)
+    for i, columns in enumerate(steps):
+        for c in columns:
+            alike &= c[1:] == c[:-1]
+        same[1:][alike] = i + LEAST_DEPTH - 1
+    return same, np.stack([np.cumsum(same < d) for d in range(LEAST_DEPTH, DEPTH + 1)])
+
+
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over one sorted partition: pairs of near neighbours (x, y) with their region, and regions (x null) that need finishing."""
-    names = ["tree", "p1", "p2", "rep", "n", "s1", "s2"]
+    keys = ["tree", "p1", "p2", "r1", "r2"]
+    names = [*keys, "rep", "n", "s1", "s2"]
     kept = {c: np.empty(0, np.int64) for c in names}
     run, first, last = 0, True, None
 
@@ -125,41 +145,45 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         cols = {c: np.concatenate([kept[c], b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for c in names}
         old, m = len(kept["rep"]), len(cols["rep"])
-        key = np.stack([cols["tree"], cols["p1"], cols["p2"]], 1)
-        new = np.ones(m, bool)
-        new[1:] = (key[1:] != key[:-1]).any(axis=1)
-        region = np.cumsum(new)
+        same, runs = depths(*(cols[c] for c in keys))
+        # The least depth at which no more than a few share the prefix, as a row of runs; the last is for whole signatures that many share.
+        crowd = np.stack([np.bincount(r)[r] for r in runs]) > GROUP
+        level = np.where(crowd.all(axis=0), len(runs), crowd.argmin(axis=0))
+        mine = runs[np.minimum(level, len(runs) - 1), np.arange(m)]
         xs, ys, at_ = [], [], []
-        for lag in range(1, WINDOW + 1):
+        for lag in range(1, GROUP):
             i = np.arange(max(old, lag), m)
+            near = (runs[0][i] == runs[0][i - lag]) if lag <= WINDOW else (mine[i] == runs[np.minimum(level[i], len(runs) - 1), i - lag]) & (level[i] < len(runs))
+            i = i[near]
             j = i - lag
             n_i, n_j = cols["n"][i], cols["n"][j]
             # As unsigned numbers: numpy counts the bits of a signed number's magnitude.
             apart = sum(np.bitwise_count((cols[s][i] ^ cols[s][j]).view(np.uint64)).astype(int) for s in ("s1", "s2"))
-            good = (region[i] == region[j]) & (apart <= SKETCH_BITS) & (4 * np.minimum(n_i, n_j) >= 3 * np.maximum(n_i, n_j)) & (cols["rep"][i] != cols["rep"][j])
+            good = (apart <= SKETCH_BITS) & (4 * np.minimum(n_i, n_j) >= 3 * np.maximum(n_i, n_j)) & (cols["rep"][i] != cols["rep"][j])
             u, v = cols["rep"][i[good]], cols["rep"][j[good]]
             xs.append(np.minimum(u, v))
             ys.append(np.maximum(u, v))
             at_.append(i[good])
         x, y, i = map(np.concatenate, (xs, ys, at_))
-        yield rows(x, y, key[i, 0], key[i, 1], key[i, 2])
+        yield rows(x, y, *(cols[c][i] for c in keys[:3]))
         # Regions: rows of this batch by run; the run that goes on from the batch before keeps its count.
+        new = same < LEAST_DEPTH
         starts = np.flatnonzero(new[old:]) + old
         edges = np.unique(np.concatenate([[old], starts, [m]]))
         lengths = np.diff(edges)
         if old and not new[old]:
             lengths[0] += run
         run = int(lengths[-1])
-        marked = np.flatnonzero(lengths > WINDOW + 1)
+        marked = np.flatnonzero(lengths > GROUP)
         if first:
             marked = np.union1d(marked, [0])
             first = False
         at = edges[:-1][marked]
-        yield rows([None] * len(at), [None] * len(at), key[at, 0], key[at, 1], key[at, 2])
-        last = key[-1]
-        kept = {c: cols[c][-WINDOW:] for c in names}
+        yield rows([None] * len(at), [None] * len(at), *(cols[c][at] for c in keys[:3]))
+        last = [int(cols[c][-1]) for c in keys[:3]]
+        kept = {c: cols[c][-(GROUP - 1) :] for c in names}
     if last is not None:
-        yield rows([None], [None], [last[0]], [last[1]], [last[2]])
+        yield rows([None], [None], *([v] for v in last))
 
 
 def shingle_sets(texts: DataFrame, wanted: DataFrame, *, bits: int = 25) -> DataFrame:
@@ -248,8 +272,35 @@ def dense_links(table: pa.Table) -> pa.Table:
     return pa.table({c: pa.array([x[i] for x in links], pa.int64()) for i, c in enumerate(("x", "y"))})
 
 
-def near_duplicates(docs: DataFrame, *, block: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable), kept."""
+def root_of(roots: DataFrame, df: DataFrame, node: str, out: str) -> DataFrame:
+    r = roots.select(F.col("y").alias(node), F.col("x").alias(out))
+    return df.join(r, node, "left").withColumn(out, F.coalesce(out, node))
+
+
+def finished(spark, members: DataFrame, roots: DataFrame, sets: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Links inside crowded regions that span components, and the members compared: where one region leads to the next, all meet in blocks."""
+    region = ["tree", "p1", "p2"]
+    rooted = root_of(roots, members, "rep", "root")
+    mixed = rooted.groupBy(region).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("rep").alias("x")).where("least <> most").select(*region, "x")
+    mixed = save(mixed, "mixed")
+    edges = save(members.join(mixed, region).select("x", F.col("rep").alias("y")).distinct(), "mixed")
+    clusters = components(edges.where("x <> y"))
+    grouped = save(edges.select(F.col("y").alias("rep")).distinct().join(clusters.select(F.col("y").alias("rep"), "x"), "rep", "left").select(F.coalesce("x", "rep").alias("cluster"), "rep"), "clusters")
+    counted = grouped.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sized = grouped.join(counted, "cluster").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = sized.join(sets.withColumnRenamed("doc_id", "rep"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "shingles")
+    last = save(met.groupBy("cluster", "i", "j").applyInArrow(dense_links, "x long, y long"), "links")
+    delete(spark, mixed, edges)
+    return last, grouped
+
+
+def near_duplicates(docs: DataFrame, *, block: int = 400, exact: bool = True, facts: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable), kept.
+
+    exact: finish crowded regions that span components by comparing all their members.
+    facts receives the numbers of classes, candidate pairs and members of regions that blocks compared.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     signed = save(shingle_rows(docs, id_col=id_col, text_col=text_col), "minhash", "lz4")
@@ -267,38 +318,30 @@ def near_duplicates(docs: DataFrame, *, block: int = 400, id_col: str = "doc_id"
     members = save(forest.join(crowded, region).select(*region, "rep"), "members")
     # Tables that joins meet are written first, so that a join of exchanges can split a crowded region.
     several = save(members.groupBy(*region).agg(F.count("*").alias("c")).where("c > 1").select(*region), "several")
-    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).union(members.join(several, region).select("rep"))
+    wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y"))
+    if exact:
+        wanted = wanted.union(members.join(several, region).select("rep"))
     sets = save(shingle_sets(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")), save(wanted.distinct(), "wanted")), "sets", "lz4")
 
-    # The likeliest partner of each class; then pairs of small regions that are in different components still.
+    # The likeliest partner of each class; then pairs that are in different components still. Ones that a single
+    # tree found in a crowded region are left to the exact finish, if there is one.
     likeliest = pairs.groupBy("y").agg(F.max_by("x", F.struct("votes", -F.col("x"))).alias("x"))
     links = save(confirmed(likeliest, sets), "links")
     roots = components(links)
 
-    def root_of(df: DataFrame, node: str, out: str) -> DataFrame:
-        r = roots.select(F.col("y").alias(node), F.col("x").alias(out))
-        return df.join(r, node, "left").withColumn(out, F.coalesce(out, node))
-
-    apart = root_of(root_of(pairs.where("small").select("x", "y"), "x", "rx"), "y", "ry").where("rx <> ry")
+    open_ = pairs.where("small or votes > 1") if exact else pairs
+    apart = root_of(roots, root_of(roots, open_.select("x", "y"), "x", "rx"), "y", "ry").where("rx <> ry")
     more = save(confirmed(apart, sets), "links")
     links = links.unionByName(more)
     roots = components(links)
 
-    # Crowded regions that span components: their members, where one region leads to the next, are compared in blocks.
-    rooted = root_of(members, "rep", "root")
-    mixed = rooted.groupBy(region).agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min("rep").alias("x")).where("least <> most").select(*region, "x")
-    mixed = save(mixed, "mixed")
-    edges = save(members.join(mixed, region).select("x", F.col("rep").alias("y")).distinct(), "mixed")
-    clusters = components(edges.where("x <> y"))
-    grouped = save(edges.select(F.col("y").alias("rep")).distinct().join(clusters.select(F.col("y").alias("rep"), "x"), "rep", "left").select(F.coalesce("x", "rep").alias("cluster"), "rep"), "clusters")
-    counted = grouped.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    sized = grouped.join(counted, "cluster").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = sized.join(sets.withColumnRenamed("doc_id", "rep"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "shingles")
-    last = save(met.groupBy("cluster", "i", "j").applyInArrow(dense_links, "x long, y long"), "links")
-    if last.take(1):
-        roots = components(links.unionByName(last))
-    delete(spark, found, crowded, pairs, members, several, mixed, sets, edges, grouped)
+    if exact:
+        more, compared = finished(spark, members, roots, sets, block)
+        if more.take(1):
+            roots = components(links.unionByName(more))
+    if facts is not None:
+        facts |= {"classes": classes.count(), "pairs": pairs.count(), "compared": compared.count() if exact else 0}
+    delete(spark, found, crowded, pairs, members, several, sets)
 
     to_class = classes.select("a", "b", "rep")
     out = signed_.join(to_class, ["a", "b"], "left").join(roots.select(F.col("y").alias("rep"), "x"), "rep", "left")

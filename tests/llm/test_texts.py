@@ -202,6 +202,41 @@ def test_near_duplicates(spark, rows):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
 
 
+def test_prefix_depths():
+    rng = np.random.default_rng(2)
+    v = rng.integers(0, 2, (300, 6))
+    v = v[np.lexsort(v.T[::-1])]
+    same, runs = near_dedup.depths(np.zeros(300, np.int64), v[:, 0] << 32 | v[:, 1], v[:, 2], v[:, 3], v[:, 4] << 32 | v[:, 5])
+    for i in range(1, 300):
+        lcp = next((k for k in range(6) if v[i, k] != v[i - 1, k]), 6)
+        assert same[i] == lcp if lcp >= 3 else same[i] < 3
+        assert [runs[d, i] == runs[d, i - 1] for d in range(4)] == [lcp >= d for d in (3, 4, 5, 6)]
+
+
+def test_crowded_regions(spark):
+    """One region of texts that are alike, but below the threshold, with a few linked pairs: candidates grow with the texts, and links are found at greater depth."""
+    per_text, found = [], []
+    for n in (150, 600):
+        rng = random.Random(n)
+        base, texts = [f"w{rng.randrange(10**6)}" for _ in range(120)], []
+        for i in range(n):
+            own = list(base)
+            for at in rng.sample(range(0, 120, 5), 4):
+                own[at] = f"u{rng.randrange(10**9)}"
+            texts.append((i, " ".join(own)))
+        for i in range(0, n, 10):  # a partner for some: one word apart, at the end
+            texts.append((10_000 + i, texts[i][1] + " last"))
+        df, want, facts = spark.createDataFrame(texts, DOCS), brute.near(texts), {}
+        fast = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, exact=False, facts=facts).collect()}
+        linked = [d for d, (_, c) in want.items() if c != d]
+        found.append(sum(fast[d] == want[d] for d in linked) / len(linked))
+        per_text.append(facts["pairs"] / len(texts))
+        whole = near_dedup.near_duplicates(df, facts=facts, block=100)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in whole.collect()} == want and facts["compared"] > 0
+    assert min(found) >= 0.98, found
+    assert per_text[1] < 1.5 * per_text[0], per_text
+
+
 def test_near_duplicates_edges(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
     out = near_dedup.near_duplicates(spark.createDataFrame([(None, "a b"), (2, "a b"), (2, "c d e"), (3, "C D E")], DOCS)).collect()
