@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 #: White space that trimming removes, beyond ASCII: no-break space, byte order mark and the Unicode spaces.
 TRIMMED = r"[\s\x0B\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-DATE = r"^(\d{4})[-/](\d{2})[-/](\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.(\d{1,3}))?)?)?(Z|[+-]\d{2}:?\d{2})?$"
+#: A date cell, part by part: the day, and perhaps a time of day to the millisecond and a zone.
+DAY, CLOCK, ZONE = "[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", "[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,3})?)?", "Z|[+-][0-9]{2}:?[0-9]{2}"
+DATE = f"^{DAY}({CLOCK})?({ZONE})?$"
 IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -14,14 +14,16 @@ from .cells import Table
 def type_facts(table: Table, columns: list[int]) -> DataFrame:
     """One row: full<i>, numbers<i>, dates<i> of each column.
 
-    Cells are trimmed in one projection and tested in the next, so that each is
-    computed once however often the tests and aggregates refer to it.
+    Cells are trimmed in one projection and tested in the next ones, so that each is
+    computed once however often the tests and aggregates refer to it. A number is no
+    date, and only cells with a separator after four characters are tested for one.
     """
     texts = table.rows.select(*[V.trimmed(table.cell(i)).alias(f"t{i}") for i in columns])
-    tested = texts.select(*[c for i in columns for t in (F.col(f"t{i}"),) for c in (
-        (t != "").alias(f"f{i}"), F.when(t != "", V.numeric(t).isNotNull()).alias(f"n{i}"), F.when(t != "", V.parse_date_key(t).isNotNull()).alias(f"d{i}"),
+    numbers = texts.select("*", *[F.when(F.col(f"t{i}") != "", V.numeric(F.col(f"t{i}")).isNotNull()).alias(f"n{i}") for i in columns])
+    tested = numbers.select(*[c for i in columns for t, n in ((F.col(f"t{i}"), F.col(f"n{i}")),) for c in (
+        n, F.when(n, False).when(F.substring(t, 5, 1).isin("-", "/"), V.parse_date_key(t).isNotNull()).when(t != "", False).alias(f"d{i}"),
     )])
-    return tested.agg(*[c for i in columns for c in (F.count_if(f"f{i}").alias(f"full{i}"), F.bool_and(f"n{i}").alias(f"numbers{i}"), F.bool_and(f"d{i}").alias(f"dates{i}"))])
+    return tested.agg(*[c for i in columns for c in (F.count(f"n{i}").alias(f"full{i}"), F.bool_and(f"n{i}").alias(f"numbers{i}"), F.bool_and(f"d{i}").alias(f"dates{i}"))])
 
 
 def type_of(i: int) -> Column:

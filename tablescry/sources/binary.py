@@ -24,7 +24,7 @@ def db3(data: bytes, tables: int = 12, rows: int = 100) -> Summary:
 
     s = Summary("DB3", "SQLite database")
     if data[:16] != b"SQLite format 3\0":
-        s.warnings.append("The file does not start with the expected SQLite header.")
+        s.warnings.append("the first sixteen bytes are no database header")
         return preview(s, data)
     size = struct.unpack_from(">H", data, 16)[0]
     s.facts = [("Page size", 65536 if size == 1 else size), ("Pages", struct.unpack_from(">I", data, 28)[0])]
@@ -51,17 +51,17 @@ def db3(data: bytes, tables: int = 12, rows: int = 100) -> Summary:
 def dbf(data: bytes, encoding: str = "utf-8") -> Summary:
     """Typed attributes: deleted records skipped, 0x1A ends them."""
     if len(data) < 32:
-        raise ValueError("DBF header is truncated.")
+        raise ValueError("the table ends inside its header")
     declared, head, width = struct.unpack_from("<IHH", data, 4)
     if not 33 <= head <= len(data) or width < 1:
-        raise ValueError("DBF header size is invalid.")
+        raise ValueError("the header's size fits neither the file nor a record")
     fields, at = [], 32
     while at + 32 <= head and data[at] != 0x0D:
         name = data[at : at + 11].partition(b"\0")[0].decode(encoding, "replace").strip()
         fields.append((name or f"FIELD_{len(fields)}", chr(data[at + 11]), data[at + 16]))
         at += 32
     if not fields:
-        raise ValueError("DBF contains no field descriptors.")
+        raise ValueError("the header describes no field")
 
     def value(raw: bytes, kind: str):
         t = raw.decode(encoding, "replace").replace("\0", "").strip()
@@ -126,7 +126,7 @@ def shapefile(data: bytes) -> Summary:
         number, words = struct.unpack_from(">ii", data, at)
         end, p = at + 8 + words * 2, at + 8
         if words < 2 or end > len(data):
-            s.warnings.append("Parsing stopped at a truncated record.")
+            s.warnings.append("the last record is cut off")
             break
         kind = struct.unpack_from("<i", data, p)[0]
         try:
@@ -167,19 +167,19 @@ def safetensors(data: bytes, total: int | None = None) -> Summary:
     total = len(data) if total is None else total
     size = struct.unpack_from("<Q", data)[0] if len(data) >= 8 else -1
     if size < 0 or 8 + size > total:
-        s.warnings.append("The header length is missing or extends past the end of the file.")
+        s.warnings.append("the header's length is not there or too large")
         return s
     try:
         head = json.loads(data[8 : 8 + size].decode())
         if not isinstance(head, dict):
             raise ValueError("not an object")
     except ValueError:
-        s.warnings.append("The safetensors header is not a JSON object.")
+        s.warnings.append("the header is no JSON object")
         return s
     whole = lambda xs: isinstance(xs, list) and all(isinstance(x, int) and not isinstance(x, bool) and x >= 0 for x in xs)
     meta = head.pop("__metadata__", {})
     if not isinstance(meta, dict) or any(not isinstance(v, str) for v in meta.values()):
-        s.warnings.append('Some "__metadata__" values are not strings and were ignored.')
+        s.warnings.append('metadata values that are not text are left out')
     meta = {k: v for k, v in meta.items() if isinstance(v, str)} if isinstance(meta, dict) else {}
     rows, bad, unknown, odd, ranges = [], False, False, False, []
     for name, e in head.items():
