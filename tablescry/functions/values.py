@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 #: White space that trimming removes, beyond ASCII: no-break space, byte order mark and the Unicode spaces.
 TRIMMED = r"[\s\x0B\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-#: A date cell, part by part: the day, and perhaps a time of day to the millisecond and a zone.
-DAY, CLOCK, ZONE = "[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", "[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,3})?)?", "Z|[+-][0-9]{2}:?[0-9]{2}"
+#: A date cell, part by part: the day, and perhaps a time of day to the millisecond and a zone of no more than 14 hours.
+DAY, SIXTY = "[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", "[0-5][0-9]"
+CLOCK = f"[T ]([01][0-9]|2[0-3]):{SIXTY}(:{SIXTY}([.][0-9]{{1,3}})?)?"
+ZONE = f"Z|[+-](0[0-9]|1[0-3]):?{SIXTY}|[+-]14:?00"
 DATE = f"^{DAY}({CLOCK})?({ZONE})?$"
 IDENTIFIER = r"^[A-Za-z_$][A-Za-z0-9_$]*$"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,26 +45,33 @@ def numeric(t: Column) -> Column:
     return F.when(F.abs(n) < F.lit(float("inf")), n)
 
 
+def calendar_day(cell: Column) -> Column:
+    """The day that the first ten characters name, if there is one."""
+    return F.translate(F.substring(cell, 1, 10), "/", "-").try_cast("date")
+
+
+def is_date(cell: Column) -> Column:
+    return F.when(cell.rlike(DATE), calendar_day(cell).isNotNull()).otherwise(False)
+
+
 def parse_date_key(cell: Column) -> Column:
     """Milliseconds since the epoch of a date or date and time in ISO shape, else null; no zone means UTC.
 
-    One pattern decides the shape; the parts then stand at fixed places.
+    One pattern decides the shape and the ranges; the parts then stand at fixed places.
     """
     at = lambda p, n: F.substring(cell, p, n)
     number = lambda p: at(p, 2).try_cast("int")
     zero = F.lit(0)
-    day = F.concat_ws("-", at(1, 4), at(6, 2), at(9, 2)).try_cast("date")
     timed = at(11, 1).isin("T", " ")
     seconds, fraction = timed & (at(17, 1) == ":"), timed & (at(17, 1) == ":") & (at(20, 1) == ".")
     hour, minute, second = F.when(timed, number(12)).otherwise(zero), F.when(timed, number(15)).otherwise(zero), F.when(seconds, number(18)).otherwise(zero)
     millis = F.when(fraction, F.rpad(F.regexp_extract(cell, r"\.(\d+)", 1), 3, "0").try_cast("int")).otherwise(zero)
-    zone = F.when(F.char_length(cell) > 10, F.replace(F.regexp_extract(cell, r"[+-]\d{2}:?\d{2}$", 0), F.lit(":"), F.lit(""))).otherwise("")
-    hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 4, 2).try_cast("int")
-    good_zone = (zone == "") | ((minutes <= 59) & ((hours < 14) | ((hours == 14) & (minutes == 0))))
-    offset = F.when(zone == "", zero).otherwise((hours * 60 + minutes) * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1))
+    # A sign after the day's ten characters begins the zone; four digits of it are left without the colon.
+    zone = F.replace(F.regexp_extract(cell, r"[+-]\d{2}:?\d{2}$", 0), F.lit(":"), F.lit(""))
+    shift = (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")) * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
+    offset = F.when(F.substring(cell, 11, 14).rlike("[+-]"), shift).otherwise(zero)
     clock = (((hour * 60 + minute) * 60 + second) * 1000 + millis - offset * 60_000).cast("long")
-    value = F.unix_date(day).cast("long") * 86_400_000 + clock
-    return F.when(cell.rlike(DATE), F.when(day.isNotNull() & (hour <= 23) & (minute <= 59) & (second <= 59) & good_zone, value))
+    return F.when(is_date(cell), F.unix_date(calendar_day(cell)).cast("long") * 86_400_000 + clock)
 
 
 def natural_key(text: Column) -> Column:

@@ -21,7 +21,7 @@ def type_facts(table: Table, columns: list[int]) -> DataFrame:
     texts = table.rows.select(*[V.trimmed(table.cell(i)).alias(f"t{i}") for i in columns])
     numbers = texts.select("*", *[F.when(F.col(f"t{i}") != "", V.numeric(F.col(f"t{i}")).isNotNull()).alias(f"n{i}") for i in columns])
     tested = numbers.select(*[c for i in columns for t, n in ((F.col(f"t{i}"), F.col(f"n{i}")),) for c in (
-        n, F.when(n, False).when(F.substring(t, 5, 1).isin("-", "/"), V.parse_date_key(t).isNotNull()).when(t != "", False).alias(f"d{i}"),
+        n, F.when(n, False).when(F.substring(t, 5, 1).isin("-", "/"), V.is_date(t)).when(t != "", False).alias(f"d{i}"),
     )])
     return tested.agg(*[c for i in columns for c in (F.count(f"n{i}").alias(f"full{i}"), F.bool_and(f"n{i}").alias(f"numbers{i}"), F.bool_and(f"d{i}").alias(f"dates{i}"))])
 
