@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bound_batches, save
+from .common import bound_batches, let, save
 
 HIT = "query_id long, vec_id long, score double"
 
@@ -174,9 +174,8 @@ INDEX = "part int, dim int, data binary"
 def build(vectors: DataFrame, *, shard_rows: int = 16_384, most_lengths: int = 1_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """part, dim, data: a written table with a tree a row, for search(). More than most_lengths lengths of vectors raise an error."""
     base = picked(vectors, id_col, vector_col)
-    largest = F.array_max(F.transform("v", F.abs))
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / largest) * (x / largest))
-    facts = base.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.log2(largest) + F.log2(square) / 2).alias("top")).limit(most_lengths + 1).collect()
+    norm = let(F.array_max(F.transform("v", F.abs)), lambda m: F.log2(m) + F.log2(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / m) * (x / m))) / 2)
+    facts = base.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm).alias("top")).limit(most_lengths + 1).collect()
     if len(facts) > most_lengths:
         raise ValueError(f"vectors of more than {most_lengths} lengths")
     if not facts:
