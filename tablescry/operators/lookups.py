@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.storage import saved
+
 
 def positional(left: DataFrame, right: DataFrame, on: str = "row_id") -> DataFrame:
     """Rows of two tables at the same place; what the right lacks is null."""
@@ -123,18 +125,19 @@ def includes(root: str, refs: DataFrame, sizes: DataFrame, *, depth: int = 8, fi
     return first.withColumn("_t", total).where(F.col("_t") <= most_bytes).drop("_t")
 
 
-def topological_depth(nodes: DataFrame, *, most: int = 64) -> DataFrame:
-    """node_id, depth: one more than the deepest producer, by rounds of one join; a checkpoint of the feature is the depth."""
+def topological_depth(nodes: DataFrame) -> DataFrame:
+    """node_id, depth: one more than the deepest producer, by rounds of one join until nothing moves.
+
+    Only producers with a smaller node_id count, so there are no cycles; each round's depths are written, so plans stay small.
+    """
     made = nodes.select(F.col("node_id").alias("p"), F.explode("outputs").alias("name"))
-    links = nodes.select("node_id", F.explode("inputs").alias("name")).join(made, "name").where("p < node_id").select("p", "node_id").distinct()
-    depth = nodes.select("node_id", F.lit(0).alias("depth"))
-    for _ in range(most):
+    links = saved(nodes.select("node_id", F.explode("inputs").alias("name")).join(made, "name").where("p < node_id").select("p", "node_id").distinct(), "links")
+    depth, moved = nodes.select("node_id", F.lit(0).alias("depth")), True
+    while moved:
         up = links.join(depth.withColumnRenamed("node_id", "p"), "p").groupBy("node_id").agg((F.max("depth") + 1).alias("d"))
-        new = depth.join(up, "node_id", "left").select("node_id", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.coalesce("d", F.lit(0)) > F.col("depth")).alias("moved")).persist()
-        moved = new.where("moved").limit(1).count()
+        new = saved(depth.join(up, "node_id", "left").select("node_id", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"), (F.coalesce("d", F.lit(0)) > F.col("depth")).alias("moved")), "depth")
+        moved = bool(new.where("moved").take(1))
         depth = new.drop("moved")
-        if not moved:
-            break
     return depth
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import values as V
 from ..operators import cells, edits, lookups, order, search, sequences, stats, tensors, trees, unions
 from ..sources import columnar, delimited, documents, jsontext
+from . import storage
 from .view import View
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,11 +67,27 @@ def column_stats(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({"mean": F.round("mean", 4), "null_fraction": F.round("null_fraction", 6)})
 
 
-@query("""
-SELECT * FROM (VALUES (0, 'l_orderkey', 'number'), (1, 'l_quantity', 'number'), (2, 'l_returnflag', 'text'), (3, 'l_shipdate', 'date')) t("column", header, type)
-WHERE (SELECT bool_and(regexp_full_match(CAST(l_orderkey AS VARCHAR), '\\d+')) FROM lineitem)""".replace("\\\\", "\\"))
+LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+#: Cells that make a type less plain: a word among numbers, blanks among dates, days that don't exist, and nothing at all.
+ODD_CELLS = {
+    "mixed": "CASE WHEN l_linenumber = 7 THEN 'n/a' ELSE CAST(l_quantity AS {0}) END",
+    "gaps": "CASE WHEN l_returnflag = 'N' THEN ' ' ELSE replace(left(CAST(l_shipdate AS {0}), 10), '-', '/') END",
+    "no_day": "CASE WHEN l_linenumber = 1 THEN '2023-02-29' ELSE left(CAST(l_shipdate AS {0}), 10) END",
+    "blank": "CASE WHEN l_linenumber = 1 THEN '' ELSE '  ' END",
+}
+CLOCK = "[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,3})?)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?"
+
+
+def type_sql(column: str, i: int) -> str:
+    text = f"trim({ODD_CELLS[column].format('VARCHAR') if column in ODD_CELLS else f'CAST({column} AS VARCHAR)'})"
+    return f"""SELECT {i} AS "column", '{column}' AS header, CASE WHEN count(*) FILTER (WHERE t <> '') = 0 THEN 'text' WHEN bool_and(t = '' OR regexp_full_match(t, {NUMERIC})) THEN 'number'
+      WHEN bool_and(t = '' OR (regexp_full_match(t, '{CLOCK}') AND TRY_CAST(replace(left(t, 10), '/', '-') AS DATE) IS NOT NULL)) THEN 'date' ELSE 'text' END AS type FROM (SELECT {text} AS t FROM lineitem)"""
+
+
+@query(" UNION ALL ".join(type_sql(c, i) for i, c in enumerate((*LINEITEM, *ODD_CELLS))))
 def column_types(spark: SparkSession, d: str) -> DataFrame:
-    return order.column_types(cells.from_frame(load(spark, d, "lineitem").select("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate"), "l_orderkey"))
+    rows = load(spark, d, "lineitem").select(*LINEITEM, *[F.expr(e.format("STRING")).alias(c) for c, e in ODD_CELLS.items()])
+    return order.column_types(cells.from_frame(rows, "l_orderkey"))
 
 
 @query("SELECT s_suppkey AS row_id FROM supplier WHERE contains(lower(s_name), '7') OR contains(CAST(s_suppkey AS VARCHAR), '7') OR contains(CAST(s_nationkey AS VARCHAR), '7')")
@@ -126,9 +143,17 @@ def json_nodes(spark: SparkSession, d: str) -> DataFrame:
     return props(spark, d).select("doc_id", "node_id", "kind", "key", "path", "value")
 
 
-@query("SELECT count(*) AS total, 1 AS max_depth, count(*) FILTER (WHERE type = 'OBJECT') AS n_object, 0::BIGINT AS n_array, 0::BIGINT AS n_string, count(*) FILTER (WHERE type <> 'OBJECT') AS n_number, 0::BIGINT AS n_boolean, 0::BIGINT AS n_null FROM events, json_tree(props)")
+#: Lists of 0 to 4 items of all kinds, by event.
+LISTED = ('', '1', '1, "x"', '1, "x", [true, null, {}]')
+
+
+@query("""WITH t AS (SELECT '{"p":' || props || ',"l":[' || [%s][1 + event_id %% 4] || ']}' AS j FROM events), n AS (SELECT type, fullkey FROM t, json_tree(j))
+SELECT count(*) AS total, max(length(regexp_replace(fullkey, '[^.\\[]', '', 'g'))) AS max_depth, count(*) FILTER (WHERE type = 'OBJECT') AS n_object, count(*) FILTER (WHERE type = 'ARRAY') AS n_array, count(*) FILTER (WHERE type = 'VARCHAR') AS n_string,
+  count(*) FILTER (WHERE type IN ('BIGINT', 'UBIGINT', 'DOUBLE')) AS n_number, count(*) FILTER (WHERE type = 'BOOLEAN') AS n_boolean, count(*) FILTER (WHERE type = 'NULL') AS n_null FROM n""".replace("\\\\", "\\") % ", ".join(f"'{x}'" for x in LISTED))
 def json_kind_stats(spark: SparkSession, d: str) -> DataFrame:
-    return stats.kind_statistics(props(spark, d))
+    listed = F.get(F.array(*map(F.lit, LISTED)), (F.col("event_id") % 4).cast("int"))
+    texts = load(spark, d, "events").select("event_id", F.concat(F.lit('{"p":'), "props", F.lit(',"l":['), listed, F.lit("]}")).alias("j"))
+    return stats.kind_statistics(jsontext.nodes(texts, id_col="event_id", text_col="j"))
 
 
 @query("SELECT event_id AS doc_id, CAST(1 AS INT) AS node_id, CAST(1 AS INT) AS \"match\" FROM events, json_each(props) j WHERE contains(lower(j.key || ' $.' || j.key || ' number ' || CAST(j.value AS VARCHAR)), '87')")
@@ -436,9 +461,12 @@ def duplicate_keys(spark: SparkSession, d: str) -> DataFrame:
     return stats.duplicates(load(spark, d, "lineitem"), "l_suppkey", "l_partkey")
 
 
-@query("SELECT count(*) AS rows, 0::BIGINT AS ragged, CAST(greatest(1, ceil(count(*) / 500.0)) AS BIGINT) AS pages FROM customer")
+@query("SELECT count(*) AS rows, count(*) FILTER (WHERE c_custkey % 4 < 2) AS ragged, CAST(greatest(1, ceil(count(*) / 500.0)) AS BIGINT) AS pages FROM customer")
 def contract_counts(spark: SparkSession, d: str) -> DataFrame:
-    return stats.contract_counts(cells.from_frame(load(spark, d, "customer"), "c_custkey"), 500)
+    """Rows of one to three cells under three headers."""
+    width = F.least(F.col("c_custkey") % 4 + 1, F.lit(3)).cast("int")
+    rows = load(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.slice(F.array("c_name", "c_mktsegment", F.col("c_nationkey").cast("string")), F.lit(1), width).alias("cells"))
+    return stats.contract_counts(cells.Table(rows, ("name", "segment", "nation")), 500)
 
 
 @query("SELECT event_id, '$.items[' || (event_id % 7) || ']' AS a, CASE WHEN event_id % 2 = 0 THEN '$.' || event_type ELSE '$[\"odd ' || event_type || '\"]' END AS b FROM events")
@@ -554,3 +582,66 @@ def row_window(spark: SparkSession, d: str) -> DataFrame:
 def diagram_kinds(spark: SparkSession, d: str) -> DataFrame:
     heads = F.array(*map(F.lit, ("%% x\nflowchart TD", "@startuml\nA->B", "sequenceDiagram", "none")))
     return load(spark, d, "documents").select("doc_id", documents.diagram_kind(F.get(heads, (F.col("doc_id") % 4).cast("int"))).alias("kind"))
+
+
+def written_nations(spark: SparkSession, d: str) -> str:
+    """A delimited file made from the nations: quotes inside quotes, delimiters inside cells, and every third row with a cell more."""
+    path, key = storage.new_path(spark, "nations"), F.col("n_nationkey")
+    line = F.concat(key.cast("string"), F.lit(',"'), "n_name", F.lit(', ""q"""'), F.when(key % 3 == 0, ",more").otherwise(""))
+    load(spark, d, "nation").orderBy("n_nationkey").select(line).coalesce(1).write.text(path)
+    return path
+
+
+NATIONS = "SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS row_id, CAST(n_nationkey AS VARCHAR) AS k, n_name || ', \"q\"' AS name, CASE WHEN n_nationkey % 3 = 0 THEN 'more' {0} END AS extra FROM nation"
+
+
+@query(NATIONS.format("ELSE ''"))
+def ragged_delimited(spark: SparkSession, d: str) -> DataFrame:
+    t = delimited.read(spark, written_nations(spark, d), delimiter=",", has_header=False)
+    return t.rows.select("row_id", *[t.cell(i).alias(n) for i, n in enumerate(("k", "name", "extra"))])
+
+
+@query(f"SELECT k, name, extra FROM ({NATIONS.format('')})")
+def split_delimited(spark: SparkSession, d: str) -> DataFrame:
+    return delimited.fast(spark, written_nations(spark, d), header=False).toDF("k", "name", "extra")
+
+
+@query("SELECT doc_id, CAST(i AS BIGINT) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) WHERE contains(lower(l[i]), 'the')")
+def line_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.line_search(jsontext.lines(load(spark, d, "documents"), id_col="doc_id", text_col="text"), "THE").select("doc_id", "line")
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://(.*)$', 1) AS path FROM pages), s AS (SELECT path, string_split(rtrim(path, '/'), '/') AS x FROM p WHERE contains(path, '7'))
+SELECT DISTINCT array_to_string(x[1:i], '/') || '/' AS path, true AS is_dir FROM s, LATERAL (SELECT unnest(range(1, len(x))) AS i) UNION ALL SELECT path, false FROM p WHERE contains(path, '7')""")
+def path_filter(spark: SparkSession, d: str) -> DataFrame:
+    entries = load(spark, d, "pages").select(F.col("page_id").alias("entry_id"), F.regexp_extract("url", "^[a-z]+://(.*)$", 1).alias("path"), F.lit(False).alias("is_dir"))
+    return search.path_filter(unions.implicit_directories(entries).select("path", "is_dir"), "7")
+
+
+@query("SELECT page_id, page_id % 3 <> 0 AS safe FROM pages")
+def safe_links(spark: SparkSession, d: str) -> DataFrame:
+    forms = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("javascript:"), "url")).when(F.col("page_id") % 3 == 1, F.concat(F.lit(" "), F.upper("url"))).otherwise(F.col("url"))
+    return load(spark, d, "pages").select("page_id", search.safe_link(forms).alias("safe"))
+
+
+@query("SELECT p_brand, p_type FROM (SELECT p_brand, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_type) AS r FROM part) WHERE r = 1")
+def best_choice(spark: SparkSession, d: str) -> DataFrame:
+    return stats.best_by(load(spark, d, "part"), "p_type", "p_retailprice", "p_brand")
+
+
+@query("SELECT n_nationkey AS node_id, CAST(floor(log2(n_nationkey + 1)) AS INT) AS depth FROM nation")
+def topological_depth(spark: SparkSession, d: str) -> DataFrame:
+    """The nations as a graph: each takes what its half puts out."""
+    key = F.col("n_nationkey")
+    name = lambda n: F.concat(F.lit("t"), n.cast("int").cast("string"))
+    nodes = load(spark, d, "nation").select(key.alias("node_id"), F.when(key > 0, F.array(name(F.floor((key - 1) / 2)))).otherwise(F.array().cast("array<string>")).alias("inputs"), F.array(name(key)).alias("outputs"))
+    return lookups.topological_depth(nodes)
+
+
+@query("""WITH t AS (SELECT p_brand AS full_name FROM part GROUP BY 1), r AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_type END AS ref FROM part)
+SELECT p_partkey, ref FROM r WHERE ref NOT IN (SELECT full_name FROM t)""")
+def unresolved_references(spark: SparkSession, d: str) -> DataFrame:
+    part = load(spark, d, "part")
+    types = part.select(F.concat(F.lit("shop."), "p_brand").alias("full_name")).distinct()
+    refs = part.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_type")).alias("ref"))
+    return lookups.unresolved(refs, types).select("p_partkey", "ref")
