@@ -12,29 +12,28 @@ from .cells import Table
 
 
 def type_facts(table: Table, columns: list[int]) -> DataFrame:
-    """One row: full<i>, numbers<i>, dates<i> of each column.
+    """column, full, numbers, dates: how many cells of each column aren't blank, and whether all of those are numbers or dates.
 
-    Cells are trimmed in one projection and tested in the next ones, so that each is
-    computed once however often the tests and aggregates refer to it. A number is no
-    date, and only cells with a separator after four characters are tested for one.
+    Cells become rows, so that one small test serves any number of columns, and are
+    counted before they move. A number is no date, and only cells with a separator after
+    four characters are tested for one.
     """
-    texts = table.rows.select(*[V.trimmed(table.cell(i)).alias(f"t{i}") for i in columns])
-    numbers = texts.select("*", *[F.when(F.col(f"t{i}") != "", V.numeric(F.col(f"t{i}")).isNotNull()).alias(f"n{i}") for i in columns])
-    tested = numbers.select(*[c for i in columns for t, n in ((F.col(f"t{i}"), F.col(f"n{i}")),) for c in (
-        n, F.when(n, False).when(F.substring(t, 5, 1).isin("-", "/"), V.is_date(t)).when(t != "", False).alias(f"d{i}"),
-    )])
-    return tested.agg(*[c for i in columns for c in (F.count(f"n{i}").alias(f"full{i}"), F.bool_and(f"n{i}").alias(f"numbers{i}"), F.bool_and(f"d{i}").alias(f"dates{i}"))])
+    cells = table.rows.select(F.posexplode("cells").alias("column", "cell")).where(F.col("column").isin(columns))
+    texts = cells.select("column", V.trimmed(F.col("cell")).alias("t")).where("t <> ''")
+    numbers = texts.withColumn("n", V.numeric(F.col("t")).isNotNull())
+    tested = numbers.select("column", "n", F.when(F.col("n") | ~F.substring("t", 5, 1).isin("-", "/"), False).otherwise(V.is_date(F.col("t"))).alias("d"))
+    return tested.groupBy("column").agg(F.count("*").alias("full"), F.bool_and("n").alias("numbers"), F.bool_and("d").alias("dates"))
 
 
-def type_of(i: int) -> Column:
+def type_of() -> Column:
     """number, date or text from the facts of a column: blanks don't count, and all blank is text."""
-    return F.when(F.col(f"full{i}") == 0, "text").when(F.col(f"numbers{i}"), "number").when(F.col(f"dates{i}"), "date").otherwise("text")
+    return F.when(F.col("numbers"), "number").when(F.col("dates"), "date").otherwise("text")
 
 
 def column_types(table: Table) -> DataFrame:
     """column, header, type; one pass over the table for all columns."""
-    facts = type_facts(table, list(range(len(table.headers))))
-    return facts.select(F.inline(F.array(*[F.struct(F.lit(i).alias("column"), F.lit(h).alias("header"), type_of(i).alias("type")) for i, h in enumerate(table.headers)])))
+    heads = table.rows.sparkSession.createDataFrame(list(enumerate(table.headers)), "column int, header string")
+    return heads.join(type_facts(table, list(range(len(table.headers)))), "column", "left").select("column", "header", type_of().alias("type"))
 
 
 @dataclass(frozen=True)
@@ -58,7 +57,8 @@ def sort_keys(table: Table, sort: Sort, kind: str) -> list[Column]:
 
 
 def inferred(table: Table, column: int) -> str:
-    return type_facts(table, [column]).select(type_of(column)).first()[0]
+    found = type_facts(table, [column]).select(type_of()).first()
+    return found[0] if found else "text"
 
 
 def ordered(table: Table, sort: Sort | None, *, kind: str | None = None) -> Table:
