@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -72,14 +73,57 @@ def entropy_runs(word, window, limit):
 def test_entropy_windows(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEF") for _ in range(rng.randrange(20, 90))) + "a" * rng.randrange(40) for _ in range(60)]
-    rule = secret_scan.EntropyRule(allowed=())
+    rule = secret_scan.EntropyRule(allowed=(), allowed_parts=None)
     df = spark.createDataFrame([(i, f"é {w} x") for i, w in enumerate(words)], DOCS)
     for r in secret_scan.scan(df, rule).collect():
         assert [(s["start"] - 2, s["end"] - 2) for s in r["entropy"]] == entropy_runs(words[r["doc_id"]], rule.window, rule.mixed_bits), words[r["doc_id"]]
-    allowed = spark.createDataFrame([(1, "x9Kd83jfLq02mZpQ7vTnEXAMPLEx9Kd83jf"), (2, "x9Kd83jfLq02mZpQ7vTnB4yHs1")], DOCS)
-    assert {r["doc_id"]: len(r["entropy"]) for r in secret_scan.scan(allowed).collect()} == {1: 0, 2: 1}
 
 
+def test_entropy_of_each_class(spark):
+    """Every class's limit, and windows that allow-listed parts take out, against plain code."""
+    rng = random.Random(8)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    rule = secret_scan.EntropyRule()
+    classes = {"hex": (digits + "abcdef", rule.hex_bits), "one": (lower, rule.one_case_bits), "upper": (upper, rule.one_case_bits), "letters": (lower + upper, rule.letters_bits), "others": (lower + upper + digits + "+/", rule.mixed_bits)}
+    words, limits = [], []
+    for chars, limit in classes.values():
+        for part in ["", "", "", "dUmMy", "abcdefg", "xXxXx"] * 4:
+            n = rng.randrange(20, 60)
+            at = rng.randrange(n)
+            word = "".join(rng.choice(chars[: rng.choice([9, len(chars)])]) for _ in range(n))
+            part = part if limit == rule.mixed_bits else ""
+            words.append(word[:at] + part + word[at:])
+            limits.append(limit)
+    got_runs = {r["doc_id"]: [(s["start"] - 2, s["end"] - 2) for s in r["entropy"]] for r in secret_scan.scan(spark.createDataFrame([(i, f"é {w} x") for i, w in enumerate(words)], DOCS)).collect()}
+    parts = re.compile(rule.allowed_parts)
+    for i, (word, limit) in enumerate(zip(words, limits)):
+        if limit == rule.mixed_bits and (re.fullmatch("[A-Za-z]+", word) or any(re.search(p, word) for p in rule.allowed)):
+            continue
+        holes = [m.span() for m in parts.finditer(word)]
+        want = []
+        for a in range(len(word) - rule.window + 1):
+            b = a + rule.window
+            if not any(s < b and e > a for s, e in holes) and entropy_runs(word[a:b], rule.window, limit):
+                if want and want[-1][1] >= a:
+                    want[-1] = (want[-1][0], b)
+                else:
+                    want.append((a, b))
+        assert got_runs[i] == want, word
+    # most random keys are found, of whatever letters; long English words are not
+    keys = ["".join(rng.choice(c) for _ in range(n)) for c in (lower, upper, lower + upper) for n in (20, 32, 40) for _ in range(30)]
+    plain = ["counterrevolutionaries", "incomprehensibilities", "some-words/that_only-make/a_path", "antidisestablishmentarianism", "uncharacteristically"]
+    texts = spark.createDataFrame(list(enumerate(keys + plain)), DOCS)
+    found = {r["doc_id"] for r in secret_scan.scan(texts).collect() if r["entropy"]}
+    assert len(found & set(range(len(keys)))) >= 0.9 * len(keys)
+    assert not found - set(range(len(keys))), [plain[i - len(keys)] for i in found if i >= len(keys)]
+
+
+def test_allow_list_clears_only_what_it_overlaps(spark):
+    key = "x9Kd83jfLq02mZpQ7vTn"
+    texts = [key[:19] + "EXAMPLE" + key[:8], key + "EXAMPLE" + key[:8], key + "B4yHs1", "123e4567-e89b-12d3-a456-426614174000", "/".join(["some", "path", "of", "words"] * 3)]
+    out = {r["doc_id"]: [(s["start"], s["end"]) for s in r["entropy"]] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert out == {0: [], 1: [(0, 20)], 2: [(0, 26)], 3: [], 4: []}
+
 
 def test_fingerprints(spark, rows):
     odd = [(10_000, None), (10_001, ""), (10_002, "one two"), (10_003, "日本語 " * 9), (10_004, "x" * 5000), (10_005, "one two"), (10_005, "one two")]
