@@ -2,10 +2,14 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import defaultdict
 from itertools import combinations
 
+import regex
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -88,3 +92,43 @@ def pieces(ids, capacity=4096):
 
     data = np.array(ids, "<u4").tobytes()
     return [(n, at, len(data[4 * at : 4 * (at + capacity)]) // 4, zlib.crc32(data[4 * at : 4 * (at + capacity)])) for n, at in enumerate(range(0, len(ids), capacity))]
+
+
+UNIT = regex.compile(r"\p{Ideographic}|[^ \t\n\x0b\f\r\p{Ideographic}]{1,24}")
+
+
+def hashed(*values, seed=42):
+    """Spark's xxhash64 of strings and longs: each value's hash is the next one's seed."""
+    for v in values:
+        seed = xxhash.xxh64(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=seed % 2**64).intdigest()
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def syncmers(text, k=5, s=2):
+    """Hashes of the closed syncmers over units, in order."""
+    units = [hashed(u) for u in UNIT.findall(text)]
+    inner = [hashed(*units[i : i + s]) for i in range(len(units) - s + 1)]
+    out = []
+    for i in range(len(units) - k + 1):
+        window = inner[i : i + k - s + 1]
+        if min(window) in (window[0], window[-1]):
+            out.append(hashed(window[0], units[i + s], window[-1]) % 2**64 >> 33)
+    return out or ([hashed(*units) % 2**64 >> 33] if units else [])
+
+
+def alike(a, b):
+    a, b = set(a), set(b)
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def prints(rows):
+    """[(doc_id, n_chars, sha of the edited text, fingerprint, its fingerprint, likeness to it, to the next)] sorted."""
+    order = [(d, t or "") for d, t in sorted(rows, key=lambda r: -r[0])]
+    text = lambda a: ".".join(f"{h:x}" for h in a)
+    out = []
+    for i, (d, t) in enumerate(order):
+        after, half = order[(i + 1) % len(order)][1], len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        own, other = syncmers(t), syncmers(edited)
+        out.append((d, len(t), sha(edited), text(own), text(other), round(alike(own, other), 9), round(alike(own, syncmers(after)), 9)))
+    return sorted(out)

@@ -129,6 +129,8 @@ def test_fingerprints(spark, rows):
     odd = [(10_000, None), (10_001, ""), (10_002, "one two"), (10_003, "日本語 " * 9), (10_004, "x" * 5000), (10_005, "one two"), (10_005, "one two")]
     everything = rows + odd
     out = syncmers.edited_fingerprints(clashing(spark.createDataFrame(everything, DOCS)).repartition(3)).collect()
+    columns = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint")
+    assert sorted((*(r[c] for c in columns), round(r["near_edited"], 9), round(r["near_next"], 9)) for r in out) == brute.prints(everything)
     order = sorted(everything, key=lambda r: -r[0])
     at = {d: i for i, (d, _) in enumerate(order)}
     assert len(out) == len(everything)
