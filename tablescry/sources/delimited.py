@@ -68,10 +68,15 @@ def read(spark: SparkSession, path: str, *, delimiter: str | None = None, has_he
     """A file or folder of delimited text as a table: the widest row sets the width, short rows are padded, missing headers are made up.
 
     Each file is read whole by one task (quotes may hold line breaks); many files are
-    read in parallel. Rows are numbered by file and place; the report has the ragged count.
+    read in parallel. Rows are numbered by file and place; the report has the ragged count, and the
+    files over limits.max_bytes, which aren't read.
     """
     report = Report(path)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path).where(F.col("length") <= limits.max_bytes)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path)
+    files = found.where(F.col("length") <= limits.max_bytes)
+    big = found.where(F.col("length") > limits.max_bytes).agg(F.count("*").alias("n"), F.min("path").alias("first")).first()
+    if big["n"]:
+        report.note("warning", "limit-bytes", big["first"], limit=limits.max_bytes, files=big["n"])
     if delimiter is None:
         head = files.orderBy("path").select(F.decode(F.substring("content", 1, 65536), "UTF-8")).first()
         delimiter, confidence = detect_delimiter(head[0] if head else "")

@@ -57,8 +57,15 @@ def long_rows(path: str, s: Summary) -> list[tuple]:
     return [(path, s.format, t, i, j, h, text(row[j]) if j < len(row) else "") for t, (heads, rows) in everything.items() for i, row in enumerate(rows) for j, h in enumerate(heads)]
 
 
+def too_large(files: DataFrame, max_bytes: int) -> DataFrame:
+    """The files over the limit in long form: a warning row each, so that none goes missing without a word. Their contents are not read."""
+    big = files.where(F.col("length") > max_bytes)
+    said = F.format_string(f"not read: %d bytes, limit {max_bytes}", "length")
+    return big.select("path", F.lit("skipped").alias("format"), F.lit("(warnings)").alias("table"), F.lit(0).cast("long").alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("warning").alias("header"), said.alias("value"))
+
+
 def summarise(spark: SparkSession, path: str, kind: str, *, max_bytes: int = 256 << 20) -> DataFrame:
-    """Long form of every file under path; a file that can't be read gives a warning row and no error."""
+    """Long form of every file under path; a file that can't be read, or is over max_bytes, gives a warning row and no error."""
     parse = PARSERS[kind]
 
     def work(batches):
@@ -74,8 +81,8 @@ def summarise(spark: SparkSession, path: str, kind: str, *, max_bytes: int = 256
                 rows += long_rows(name, s)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LONG.split(", ")])
 
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
-    return files.select("path", "content").mapInPandas(work, LONG)
+    files = spark.read.format("binaryFile").load(path)
+    return files.where(F.col("length") <= max_bytes).select("path", "content").mapInPandas(work, LONG).union(too_large(files, max_bytes))
 
 
 def table(summary: DataFrame, title: str, headers: list[str]) -> DataFrame:

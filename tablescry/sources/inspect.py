@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import binary, documents, engineering, office  # noqa: F401  they register their parsers
 from .detect import SNIFF_BYTES, detect, probe
-from .files import LONG, PARSERS, Summary, long_rows
+from .files import LONG, PARSERS, Summary, long_rows, too_large
 
 #: Parsers of detected formats whose names differ.
 PARSER_OF = {"shapefile": "shp", "excel": "xlsx", "word": "docx", "ppt": "pptx"}
@@ -22,7 +22,7 @@ def formats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def summaries(spark: SparkSession, path: str, *, max_bytes: int = 256 << 20) -> DataFrame:
-    """Long form of every file below path by its detected format; containers are probed, the rest falls back to text or a dump."""
+    """Long form of every file below path by its detected format; containers are probed, the rest falls back to text or a dump; a file over max_bytes gives a warning row."""
 
     def work(batches):
         import pandas as pd
@@ -41,6 +41,7 @@ def summaries(spark: SparkSession, path: str, *, max_bytes: int = 256 << 20) ->
                 rows += long_rows(name, s)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LONG.split(", ")])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= max_bytes)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     told = formats(spark, path).select("path", "format", "matched_by")
-    return files.select("path", "content").join(told, "path").mapInPandas(work, LONG)
+    readable = files.where(F.col("length") <= max_bytes).select("path", "content")
+    return readable.join(told, "path").mapInPandas(work, LONG).union(too_large(files, max_bytes))

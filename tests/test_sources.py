@@ -48,6 +48,24 @@ def test_read_ragged(spark, tmp_path):
     assert again.headers == t.headers
 
 
+def test_large_files_are_reported(spark, tmp_path):
+    from tablescry.plans.contracts import Limits
+    from tablescry.sources import inspect
+
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "b.csv").write_text("a,b\n" + "3,4\n" * 50)
+    t = delimited.read(spark, str(tmp_path), delimiter=",", limits=Limits(max_bytes=100))
+    assert t.rows.count() == 1 and t.report["report"].status == "partial"
+    note = t.report["report"].diagnostics[0]
+    assert (note.code, note.args["files"], note.location.rpartition("/")[2]) == ("limit-bytes", "1", "b.csv")
+    whole = delimited.read(spark, str(tmp_path), delimiter=",")
+    assert whole.rows.count() == 51 and whole.report["report"].status == "ok"
+    for out in (inspect.summaries(spark, str(tmp_path), max_bytes=100), files.summarise(spark, str(tmp_path), "fallback", max_bytes=100)):
+        said = {(r["path"].rpartition("/")[2], r["value"]) for r in out.where("format = 'skipped'").collect()}
+        assert said == {("b.csv", "not read: 204 bytes, limit 100")}
+        assert out.where("format != 'skipped'").select("path").distinct().count() == 1
+
+
 JSON = st.recursive(st.none() | st.booleans() | st.integers(-(10**20), 10**20) | st.text(max_size=4), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=8)
 
 
