@@ -111,10 +111,20 @@ def dense(cells: DataFrame, *, has_header: bool = False) -> Table:
     return Table(rows, tuple(f"Column {i + 1}" for i in range(width)))
 
 
+#: Rows and columns of a tile in the join of cells and merged ranges.
+TILE = 64
+
+
 def grid(cells: DataFrame, merges: DataFrame, *, max_cells: int | None = None) -> DataFrame:
-    """Cells of a sheet with merged ranges: the origin keeps its span, covered cells go. merges: r0, c0, r1, c1."""
+    """Cells of a sheet with merged ranges: the origin keeps its span, covered cells go. merges: r0, c0, r1, c1.
+
+    An equi-join on tiles of TILE rows and columns: a merged range is in each tile that it touches, a cell in one.
+    """
+    tile = lambda c: F.floor(F.col(c) / TILE)
+    spread = merges.withColumn("_tr", F.explode(F.sequence(tile("r0"), tile("r1")))).withColumn("_tc", F.explode(F.sequence(tile("c0"), tile("c1"))))
     inside = (F.col("r") >= F.col("r0")) & (F.col("r") <= F.col("r1")) & (F.col("c") >= F.col("c0")) & (F.col("c") <= F.col("c1"))
     origin = (F.col("r") == F.col("r0")) & (F.col("c") == F.col("c0"))
-    met = cells.join(merges, inside, "left").where(F.col("r0").isNull() | origin)
+    same_tile = (tile("r") == F.col("_tr")) & (tile("c") == F.col("_tc"))
+    met = cells.join(spread, same_tile & inside, "left").where(F.col("r0").isNull() | origin)
     out = met.select("r", "c", "w", F.coalesce(F.col("r1") - F.col("r0") + 1, F.lit(1)).alias("row_span"), F.coalesce(F.col("c1") - F.col("c0") + 1, F.lit(1)).alias("col_span"))
     return out.orderBy("r", "c").limit(max_cells) if max_cells else out

@@ -78,12 +78,22 @@ def owners(holes: DataFrame, rings: DataFrame) -> DataFrame:
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, at: str, *, bucket: float) -> DataFrame:
-    """Points with each range (lo, hi inclusive) that holds them, by equi-join on buckets of the given width.
+    """Points with each range (lo, hi inclusive) that holds them, by equi-join on buckets of the given width or that doubled as often as the range needs.
 
-    A range sits in every bucket it touches and a point in one, so no pair comes twice.
+    A range has one level, the first at which a bucket is no narrower, and sits in the one or
+    two buckets that it touches there; a point is in one bucket at each level in use. So no
+    pair comes twice, and wide ranges cost no more rows than narrow ones.
     """
-    spread = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.col("hi") / bucket))))
-    return points.withColumn("_b", F.floor(F.col(at) / bucket)).join(spread, "_b").where((F.col(at) >= F.col("lo")) & (F.col(at) <= F.col("hi"))).drop("_b")
+    width = F.col("hi") - F.col("lo")
+    level = F.when(width > bucket, F.ceil(F.log2(width / bucket))).otherwise(0).cast("int")
+    place = lambda c: F.floor(F.col(c) / (bucket * F.pow(F.lit(2.0), F.col("_l"))))
+    placed = ranges.where(F.col("lo") <= F.col("hi")).withColumn("_l", level)
+    levels = sorted(r[0] for r in placed.select("_l").distinct().collect())
+    if not levels:
+        levels = [0]
+    spread = placed.withColumn("_b", F.explode(F.sequence(place("lo"), place("hi"))))
+    probes = points.withColumn("_l", F.explode(F.array(*map(F.lit, levels)))).withColumn("_b", place(at))
+    return probes.join(spread, ["_l", "_b"]).where((F.col(at) >= F.col("lo")) & (F.col(at) <= F.col("hi"))).drop("_l", "_b")
 
 
 def schema_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -77,6 +77,28 @@ def test_grid_and_dense(spark):
     assert cells.dense(c.limit(0)).headers == ()
 
 
+def test_grid_of_large_ranges(spark):
+    at = [(r, c) for r in (0, 1, 63, 64, 65, 200, 500_000) for c in (0, 1, 63, 64, 130)]
+    ranges = [(1, 1, 64, 64), (200, 0, 500_000, 1), (0, 130, 0, 130)]
+    out = cells.grid(spark.createDataFrame([(r, c, "x") for r, c in at], "r int, c int, w string"), spark.createDataFrame(ranges, "r0 int, c0 int, r1 int, c1 int"))
+    want = []
+    for r, c in at:
+        over = [m for m in ranges if m[0] <= r <= m[2] and m[1] <= c <= m[3]]
+        if not over or (r, c) == over[0][:2]:
+            want.append((r, c, *((over[0][2] - r + 1, over[0][3] - c + 1) if over else (1, 1))))
+    assert sorted((r["r"], r["c"], r["row_span"], r["col_span"]) for r in out.collect()) == sorted(want)
+
+
+def test_wide_ranges_cost_no_more(spark):
+    rng = random.Random(6)
+    points = [rng.uniform(-1e6, 1e6) for _ in range(300)] + [0.0, -1e6, 1e6, 7.0]
+    ranges = [(0.0, 0.0), (-1e6, 1e6), (7.0, 7.5), (5.0, 4.0), (-1e12, 1e12)] + [(a, a + 10 ** rng.uniform(-2, 6)) for a in (rng.uniform(-1e6, 1e6) for _ in range(100))]
+    df, of = spark.createDataFrame([(p,) for p in points], "p double"), spark.createDataFrame(ranges, "lo double, hi double")
+    out = sorted((r["p"], r["lo"], r["hi"]) for r in lookups.in_ranges(df, of, "p", bucket=0.5).collect())
+    assert out == sorted((p, a, b) for p in points for a, b in ranges if a <= p <= b)
+    assert lookups.in_ranges(df, of.limit(0), "p", bucket=0.5).count() == 0
+
+
 def test_searches(spark):
     t = table(spark, [["Alpha", "beta"], ["gamma", "ALPHABET"], ["", ""]], ["a", "b"])
     assert ids(search.any_cell(t, "alpha")) == [0, 1] and ids(search.any_cell(t, "a")) == [0, 1, 2]
