@@ -45,16 +45,17 @@ def step_match(total: int, now: int, forward: bool = True) -> int:
 BASE, FACTOR, TOP = 256, 8, 512
 
 
-def pyramid(samples: DataFrame, *, base: int = BASE, factor: int = FACTOR, top: int = TOP) -> DataFrame:
+def pyramid(samples: DataFrame, *, base: int = BASE, factor: int = FACTOR, top: int = TOP, levels: int | None = None) -> DataFrame:
     """level, channel, bucket, min, max of samples (frame, channel, sample).
 
     Level 0 buckets `base` frames; each further level joins `factor` buckets until no more than
-    `top` are left. Every level aggregates the one below, so samples are shuffled once.
+    `top` are left, or there are `levels` of them if that is given. Every level aggregates the one
+    below, so samples are shuffled once.
     """
     level = samples.groupBy("channel", F.floor(F.col("frame") / base).alias("bucket")).agg(F.min("sample").alias("min"), F.max("sample").alias("max"))
     frames = samples.agg(F.max("frame")).first()[0]
     out, n, count = level.withColumn("level", F.lit(0)), 0, -(-((frames if frames is not None else -1) + 1) // base)
-    while count > top:
+    while count > top and (levels is None or n + 1 < levels):
         n, count = n + 1, -(-count // factor)
         level = level.groupBy("channel", F.floor(F.col("bucket") / factor).alias("bucket")).agg(F.min("min").alias("min"), F.max("max").alias("max"))
         out = out.unionByName(level.withColumn("level", F.lit(n)))
