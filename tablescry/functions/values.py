@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 #: White space that trimming removes, beyond ASCII: no-break space, byte order mark and the Unicode spaces.
 TRIMMED = r"[\s\x0B\u00A0\uFEFF\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: Digits and perhaps a fraction, too short to be infinite: what most number cells are.
+PLAIN = r"\A[+-]?[0-9]{1,300}(?:[.][0-9]{0,300})?\z"
+#: A day that every month has, with or without a time of day; other cells may be dates too.
+PLAIN_DAY = r"\A[1-9][0-9]{3}[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|1[0-9]|2[0-8])(?:T(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:[.][0-9]{1,3})?Z?)?\z"
+BASED = "^0([xX][0-9a-fA-F]+|[oO][0-7]+|[bB][01]+)$"
 DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 #: A date cell, part by part: the day, and perhaps a time of day to the millisecond and a zone of no more than 14 hours.
 DAY, SIXTY = "[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}", "[0-5][0-9]"
@@ -45,9 +50,14 @@ def numeric(t: Column) -> Column:
     return F.when(F.abs(n) < F.lit(float("inf")), n)
 
 
+def is_number(t: Column) -> Column:
+    """Whether a trimmed cell is a finite number, for any that numeric reads."""
+    return F.when(t.rlike(DECIMAL), F.abs(t.try_cast("double")) < F.lit(float("inf"))).otherwise(t.rlike(BASED))
+
+
 def calendar_day(cell: Column) -> Column:
     """The day that the first ten characters name, if there is one."""
-    return F.translate(F.substring(cell, 1, 10), "/", "-").try_cast("date")
+    return F.replace(F.substring(cell, 1, 10), F.lit("/"), F.lit("-")).try_cast("date")
 
 
 def is_date(cell: Column) -> Column:
@@ -90,9 +100,16 @@ def natural_key(text: Column) -> Column:
 
 
 def plain_number(n: Column) -> Column:
-    """A number the way scripts print it: no exponent below 1e21, no trailing zeros."""
-    text = F.regexp_replace(F.regexp_replace(n.cast("decimal(38,10)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(n.isNotNull(), F.when(text == "-0", "0").otherwise(text))
+    """A number the way scripts print it: no exponent below 1e21, no trailing zeros. A decimal has no negative zero."""
+    return F.regexp_replace(n.cast("decimal(38,10)").cast("string"), r"(?:\.0*|(\.\d*?[1-9])0+)$", "$1")
+
+
+def plain_double(n: Column) -> Column:
+    """plain_number of a double. Whole numbers print as such, and those of few digits as they are; only the rest need decimals and patterns."""
+    size, printed = F.abs(n), n.cast("string")
+    short = (size >= 0.001) & (size < 10_000_000) & (F.octet_length(printed) <= 12) & ~F.endswith(printed, F.lit("0"))
+    whole = (size < 1e15) & (n == F.rint(n))
+    return F.when(whole, n.cast("long").cast("string")).when(short, printed).otherwise(plain_number(n))
 
 
 def format_stat(n: Column) -> Column:

@@ -21,7 +21,9 @@ def cell_text(df: DataFrame, name: str) -> Column:
     kind, c = df.schema[name].dataType, F.col(f"`{name}`")
     if isinstance(kind, T.StringType):
         text = c
-    elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+    elif isinstance(kind, T.DoubleType):
+        text = V.plain_double(c)
+    elif isinstance(kind, (T.FloatType, T.DecimalType)):
         text = V.plain_number(c)
     elif isinstance(kind, T.DateType):
         text = F.date_format(c, "yyyy-MM-dd")

@@ -11,18 +11,25 @@ from ..functions import values as V
 from .cells import Table
 
 
-def type_facts(table: Table, columns: list[int]) -> DataFrame:
-    """column, full, numbers, dates: how many cells of each column aren't blank, and whether all of those are numbers or dates.
+#: Kinds of cells, as bits.
+BLANK, NUMBER, DAY, TEXT = 0, 1, 2, 4
 
-    Cells become rows, so that one small test serves any number of columns, and are
-    counted before they move. A number is no date, and only cells with a separator after
-    four characters are tested for one.
+
+def type_facts(table: Table) -> DataFrame:
+    """column, numbers, dates: whether all cells of each column that aren't blank are numbers, or are dates; neither without any.
+
+    Cells become rows, so that one small test serves any number of columns, and are merged
+    before they move. Most cells show what they are as they stand: nothing, a letter first, plain digits,
+    a plain day. Only the rest are trimmed and tested in full. No condition is on the cells
+    themselves, which Spark would test where they are made, making each one twice; hence the outer explode.
     """
-    cells = table.rows.select(F.posexplode("cells").alias("column", "cell")).where(F.col("column").isin(columns))
-    texts = cells.select("column", V.trimmed(F.col("cell")).alias("t")).where("t <> ''")
-    numbers = texts.withColumn("n", V.numeric(F.col("t")).isNotNull())
-    tested = numbers.select("column", "n", F.when(F.col("n") | ~F.substring("t", 5, 1).isin("-", "/"), False).otherwise(V.is_date(F.col("t"))).alias("d"))
-    return tested.groupBy("column").agg(F.count("*").alias("full"), F.bool_and("n").alias("numbers"), F.bool_and("d").alias("dates"))
+    cell, t = F.col("cell"), F.col("t")
+    cells = table.rows.select(F.posexplode_outer("cells").alias("column", "cell")).where(F.col("column") < len(table.headers))
+    plain = F.when(cell == "", BLANK).when((cell >= "A") & (cell < "\x7f"), TEXT).when(cell.rlike(V.PLAIN), NUMBER).when(cell.rlike(V.PLAIN_DAY), DAY)
+    rest = cells.select("column", "cell", plain.alias("plain")).select("column", "plain", F.when(F.col("plain").isNull(), V.trimmed(cell)).alias("t"))
+    full = F.when(t == "", BLANK).when(F.substring(t, 5, 1).isin("-", "/") & V.is_date(t), DAY).when(V.is_number(t), NUMBER).otherwise(TEXT)
+    kinds = rest.groupBy("column").agg(F.bit_or(F.coalesce("plain", full)).alias("kinds"))
+    return kinds.select("column", (F.col("kinds") == NUMBER).alias("numbers"), (F.col("kinds") == DAY).alias("dates"))
 
 
 def type_of() -> Column:
@@ -33,7 +40,7 @@ def type_of() -> Column:
 def column_types(table: Table) -> DataFrame:
     """column, header, type; one pass over the table for all columns."""
     heads = table.rows.sparkSession.createDataFrame(list(enumerate(table.headers)), "column int, header string")
-    return heads.join(type_facts(table, list(range(len(table.headers)))), "column", "left").select("column", "header", type_of().alias("type"))
+    return heads.join(type_facts(table), "column", "left").select("column", "header", type_of().alias("type"))
 
 
 @dataclass(frozen=True)
@@ -57,7 +64,7 @@ def sort_keys(table: Table, sort: Sort, kind: str) -> list[Column]:
 
 
 def inferred(table: Table, column: int) -> str:
-    found = type_facts(table, [column]).select(type_of()).first()
+    found = type_facts(table.project(column)).select(type_of()).first()
     return found[0] if found else "text"
 
 

@@ -51,6 +51,13 @@ def test_formats(spark):
     assert list(row) == ["1.5", "2", "0.1235", "—", "33.3%", "50%", "1023 bytes", "1.5 KiB", "5.00 MB", "1.20B", "12.3K", "7", "abcd… (+2 chars)", "2 × 3", "node_1_x", "a &lt; b", "45727560", "0.5", "0", '$["a\\"b"]', "25.6%", "$1,234.50", 20.0, "WGS 84", "integer", "float", "date"]
 
 
+def test_doubles_print_as_through_decimals(spark):
+    odd = [0.0, -0.0, 0.1, 0.001, 0.002, 0.0009999, -84197.04, 1 / 3, 123456.7890123, 9999999.5, 1e7, 1.5e7 + 0.25, 5e14 + 0.5, 1e15, 2.0**53, 1e20, 1e-10, 1e-12, -1e-12, 12345.678901, 100.0, -120.5]
+    rows = spark.createDataFrame([(x,) for x in odd], "x double").select(V.plain_double(F.col("x")).alias("a"), V.plain_number(F.col("x")).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+    assert [r["a"] for r in rows][:7] == ["0", "0", "0.1", "0.001", "0.002", "0.0009999", "-84197.04"] and rows[-1]["a"] == "-120.5" and rows[-2]["a"] == "100"
+
+
 def test_geometry_and_bytes(spark):
     xs, ys = F.array(*map(F.lit, (0.0, 4.0, 4.0, 0.0))), F.array(*map(F.lit, (0.0, 0.0, 3.0, 3.0)))
     row = spark.range(1).select(V.signed_ring_area(xs, ys), V.point_in_ring(F.lit(1.0), F.lit(1.0), xs, ys), V.point_in_ring(F.lit(5.0), F.lit(1.0), xs, ys), V.base64_decode(F.lit("???")), V.base64_decode(V.base64_encode(F.lit("é"))), V.tensor_bytes(F.lit(64), F.lit(32), F.lit(18)), V.tensor_bytes(F.lit(33), F.lit(32), F.lit(18)), V.align_up(F.lit(33), F.lit(32))).first()

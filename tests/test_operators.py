@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tablescry.functions import values as V
 from tablescry.operators import cells, edits, lookups, order, search, sequences, stats, unions
 from tablescry.plans.contracts import Limits, Report, fits_clipboard, probed
 from tablescry.plans.view import View
@@ -34,6 +35,19 @@ def test_types_and_statistics(spark):
     assert stats.column_statistics(empty).first()["null_fraction"] == 0
 
 
+def test_types_of_odd_cells(spark):
+    """One cell a column: short cuts agree with the full definitions of numbers and dates."""
+    odd = ["5", "5.", ".5", "+5", "-.5e3", ".", "+", "5 ", "\u00a05", "5\x01", "5\u0085", "1e999", "9" * 400, "9" * 300 + ".0", "0x1F", "0xg", "0b2", "123e-5", "5L", "NaN", "Infinity", "１２", "e5", "~", "\x7f", "é", " x",
+           "", "  ", "\u3000", "2024-02-28", "2024-02-29", "2023-02-29", "2024/12/31", "2024-13-01", "0000-01-01", "2024-01-02\n", "2024-01-02x", "2024-01-2T", "2024-01-02T23:59:59.999Z", "2024-01-02 23:59", "2024-01-02T24:00:00Z", "2024-01-02T01:02:03+14:00", "2024-01-02Z"]
+    t = table(spark, [odd, [None] * len(odd)], [str(i) for i in range(len(odd))])
+    found = [r["type"] for r in order.column_types(t).orderBy("column").collect()]
+    c = V.trimmed(F.col("c"))
+    full = F.when(c == "", "text").when(V.numeric(c).isNotNull(), "number").when(V.is_date(c), "date").otherwise("text")
+    want = [r["w"] for r in spark.createDataFrame(list(enumerate(odd)), "i int, c string").select("i", full.alias("w")).orderBy("i").collect()]
+    assert list(zip(odd, found)) == list(zip(odd, want)) and {*want} == {"number", "date", "text"}
+    assert [order.inferred(t, i) for i in (0, 26, 30)] == ["number", "text", "date"]
+
+
 def test_sort_cycle_and_pages(spark):
     a = order.next_sort(None, 1)
     b = order.next_sort(a, 1)
